@@ -83,14 +83,18 @@ def path(url: Column) -> Column:
     return F.regexp_replace(kept, r"^/+|/+\z", "")
 
 
-def host(url: Column) -> Column:
-    """Lower-cased host without user info and port, for supported schemes only.
+def host_or_empty(url: Column) -> Column:
+    """Lower-cased host without user info and port, for supported schemes only.
 
-    One expression finds it: scheme, user info, then the text between brackets
-    or up to the port. Unbalanced brackets give no host.
+    One pattern finds it: scheme, user info, then the text between brackets or up
+    to the port. Unbalanced brackets give no host.
     """
-    found = F.regexp_extract(_parsable(url), _HOST, 1)
-    return F.nullif(F.lower(found), F.lit(""))
+    return F.lower(F.regexp_extract(_parsable(url), _HOST, 1))
+
+
+def host(url: Column) -> Column:
+    """Null instead of an empty host."""
+    return F.nullif(host_or_empty(url), F.lit(""))
 
 
 def is_complete(url: Column) -> Column:
@@ -104,18 +108,13 @@ def is_direct(url: Column) -> Column:
     return _parsable(url).rlike(rf"^{_BLANK}(?:{_SCHEME}:)?//[^/?#]*(?:{names})")
 
 
-def base_path(url: Column) -> Column:
-    """Path part of B7: all of it for direct hosts, else the first two segments; null if
-    there are not enough of them or the URL is empty."""
-    inner = path(url)
-    kept = F.when(is_direct(url), inner).otherwise(
-        F.nullif(F.regexp_extract(inner, r"^([^/]*/[^/]*)", 1), F.lit(""))
-    )
-    return F.when(F.coalesce(url, F.lit("")) != "", kept)
+def first_two_segments(path_: Column) -> Column:
+    """``a/b`` of ``a/b/c``; empty if there are fewer than two segments."""
+    return F.regexp_extract(path_, r"^([^/]*/[^/]*)", 1)
 
 
 def base_url(url: Column, kept: Column) -> Column:
-    """B7 from the result of :func:`base_path`; the location keeps case, port and user."""
+    """B7 for the part of the path that is kept; the location keeps case, port and user."""
     return F.concat(scheme(url), F.lit("://"), netloc(url), F.lit("/"), kept)
 
 

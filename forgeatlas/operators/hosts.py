@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forgeatlas.functions.text import sanitise_name
 from forgeatlas.operators.lookup import frequent_keys, lookup
+from forgeatlas.session import cut_lineage
 
 # Thresholds, pool name and the first line of the report.
 MIN_ROWS = 10
@@ -27,10 +28,18 @@ def host_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def known_host_counts(df: DataFrame) -> DataFrame:
+    """E2 without the missing host.
+
+    It is dropped after the aggregation and by its count: a condition on the host
+    would be pushed down and have every URL parsed twice.
+    """
+    return host_counts(df).filter(F.col("n") > 0)
+
+
 def host_split(df: DataFrame, big_host_gt: int = BIG_HOST_GT) -> DataFrame:
     """Known hosts with their counts and on which side of the threshold they are."""
-    counts = host_counts(df.filter(F.col("repodomain").isNotNull()))
-    return counts.withColumn("is_big", F.col("n") > big_host_gt)
+    return known_host_counts(df).withColumn("is_big", F.col("n") > big_host_gt)
 
 
 def small_host_total(df: DataFrame, big_host_gt: int = BIG_HOST_GT) -> DataFrame:
@@ -47,9 +56,7 @@ def distinct_hosts(df: DataFrame) -> DataFrame:
 
 def top_hosts(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hosts by count, ties by first appearance."""
-    ordered = host_counts(df.filter(F.col("repodomain").isNotNull())).orderBy(
-        F.desc("n"), "first_row_id"
-    )
+    ordered = known_host_counts(df).orderBy(F.desc("n"), "first_row_id")
     return ordered.limit(limit) if limit else ordered
 
 
@@ -71,21 +78,24 @@ def report_lines(df: DataFrame) -> DataFrame:
 
 
 def with_bucket(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Rows with a host, plus ``bucket`` (own name or the pool) and ``host_rows``.
+    """Rows with a host, plus ``bucket`` (own name or the pool) and ``bucket_rows``.
 
-    Rows without a host belong to no bucket; see :func:`null_host_rows`.
+    Rows without a host belong to no bucket; see :func:`null_host_rows`. The
+    counts, one row per host, are stored and read three times.
     """
-    known = df.filter(F.col("repodomain").isNotNull())
-    counts = host_counts(known).select("repodomain", "n")
-    own = counts.filter(F.col("n") >= min_rows).withColumnRenamed("n", "host_rows")
+    counts = cut_lineage(known_host_counts(df).select("repodomain", "n"))
+    own = counts.filter(F.col("n") >= min_rows)
+    pooled = counts.filter(F.col("n") < min_rows).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     rows = lookup(
-        known, own, "repodomain", spread="row_id", hot=frequent_keys(counts, "repodomain")
+        df.filter(F.col("repodomain").isNotNull()),
+        own,
+        "repodomain",
+        spread="row_id",
+        hot=frequent_keys(counts, "repodomain"),
     )
-    return rows.withColumn(
-        "bucket",
-        F.when(F.col("host_rows").isNotNull(), sanitise_name(F.col("repodomain"))).otherwise(
-            OTHER
-        ),
+    name = F.when(F.col("n").isNotNull(), sanitise_name(F.col("repodomain"))).otherwise(OTHER)
+    return rows.select(
+        *df.columns, name.alias("bucket"), F.coalesce("n", pooled).alias("bucket_rows")
     )
 
 

@@ -2,7 +2,7 @@
 
 The rows are cut into blocks of consecutive positions. A block is small enough
 for one task; what crosses block borders (the last header, the number of rows so
-far) is one row per block and is itself accumulated in two levels.
+far) is one row per block.
 """
 
 from __future__ import annotations
@@ -21,70 +21,29 @@ def block_of(row_id: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(row_id, bits)
 
 
-def _before(*partition: str, order: str):
+def _before(order: list[str], partition: list[str] | None = None):
     return (
-        W.partitionBy(*(partition or (F.lit(0),)))
-        .orderBy(order)
+        W.partitionBy(*(partition or [F.lit(0)]))
+        .orderBy(*order)
         .rowsBetween(W.unboundedPreceding, -1)
     )
 
 
 def carry_over(
-    blocks: DataFrame,
-    group: list[str],
-    block: str,
-    *,
-    chain: str | None = None,
-    run_bits: int = BLOCK_BITS,
+    blocks: DataFrame, group: list[str], block: str, *, chain: str | None = None
 ) -> DataFrame:
     """For one row per ``(group, block)`` with ``tail`` and ``n`` add ``carry`` (last
     non-null tail of the blocks before) and ``offset`` (rows of the blocks before).
 
-    Runs of 2**run_bits blocks are accumulated in parallel; only one row per run
-    is accumulated over the whole group. ``chain`` makes the groups, in their
-    order, one sequence: ``"rows"`` for the offset only, ``"fill"`` for both.
+    The window sees one small row per block, that is one per million rows or per
+    input split. ``chain`` makes the groups, in their order, one sequence:
+    ``"rows"`` for the offset only, ``"fill"`` for both.
     """
-    parts = blocks.withColumn("_run", F.shiftright(F.col(block), run_bits))
-    last_tail = F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col(block)))
-    runs = parts.groupBy(*group, "_run").agg(
-        last_tail.alias("_run_tail"), F.sum("n").alias("_run_n")
-    )
-    over_runs = _before(*group, order="_run")
-    runs = runs.select(
-        *group,
-        "_run",
-        F.last("_run_tail", ignorenulls=True).over(over_runs).alias("_run_carry"),
-        F.coalesce(F.sum("_run_n").over(over_runs), F.lit(0)).alias("_run_offset"),
-    )
-    inside = _before(*group, "_run", order=block)
-    carried = (
-        parts.withColumn("_carry", F.last("tail", ignorenulls=True).over(inside))
-        .withColumn("_offset", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(runs, [*group, "_run"])
-        .select(
-            *group,
-            block,
-            F.coalesce("_carry", "_run_carry").alias("carry"),
-            (F.col("_offset") + F.col("_run_offset")).alias("offset"),
-        )
-    )
-    if chain is None:
-        return carried
-    # One row per group (input file): as long as the driver's own file listing.
-    totals = blocks.groupBy(*group).agg(last_tail.alias("tail"), F.sum("n").alias("n"))
-    over_groups = _before(order=group[0])
-    starts = totals.select(
-        *group,
-        F.last("tail", ignorenulls=True).over(over_groups).alias("_group_carry"),
-        F.coalesce(F.sum("n").over(over_groups), F.lit(0)).alias("_group_offset"),
-    )
-    carry = F.coalesce("carry", "_group_carry") if chain == "fill" else F.col("carry")
-    return carried.join(starts, group).select(
-        *group,
-        block,
-        carry.alias("carry"),
-        (F.col("offset") + F.col("_group_offset")).alias("offset"),
-    )
+    inside = _before([block], group)
+    overall = _before([*group, block])
+    carry = F.last("tail", ignorenulls=True).over(overall if chain == "fill" else inside)
+    offset = F.coalesce(F.sum("n").over(overall if chain else inside), F.lit(0))
+    return blocks.select(*group, block, carry.alias("carry"), offset.alias("offset"))
 
 
 def fill_forward(
@@ -146,10 +105,9 @@ def flag_repeats(df: DataFrame, columns: list[str], row_id: str = "row_id") -> D
     in_block = W.partitionBy(*columns, "_block").orderBy(row_id)
     df = df.withColumn("_first_here", F.row_number().over(in_block) == 1)
     home = F.when(F.col("_first_here"), F.lit(-1)).otherwise(F.col("_block"))
-    df = df.withColumn("_home", home)
-    overall = W.partitionBy(*columns, "_home").orderBy(row_id)
+    overall = W.partitionBy(*columns, home).orderBy(row_id)
     first = F.col("_first_here") & (F.row_number().over(overall) == 1)
-    return df.withColumn("duplicate_flag", ~first).drop("_block", "_first_here", "_home")
+    return df.withColumn("duplicate_flag", ~first).drop("_block", "_first_here")
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -169,7 +127,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select(
-        "_part", F.coalesce(F.sum("_n").over(_before(order="_part")), F.lit(0)).alias("_offset")
+        "_part", F.coalesce(F.sum("_n").over(_before(["_part"])), F.lit(0)).alias("_offset")
     )
     return (
         ranged.join(F.broadcast(offsets), "_part")

@@ -33,6 +33,8 @@ XSD_INTEGER = "http://www.w3.org/2001/XMLSchema#integer"
 MISSING_REFERENCE = "nan"
 # End of fixed values.
 
+# Flags and the count never look like a URI.
+_TEXT_COLUMNS = [c for c in ROW_COLUMNS if not c.endswith(("_flag", "_scheme", "local"))]
 # Characters that cannot be written inside <...>.
 BAD_URI = r'[<>" {}|\\^`]'
 
@@ -55,15 +57,28 @@ def _uri(subject: Column, predicate: str, value: Column) -> Column:
     )
 
 
-def row_statements(base: str = PROJECT_BASE) -> Column:
-    """Array of the statements of one row; -1 and missing values make none."""
-    subject = F.concat(F.lit(base), F.coalesce("projectref", F.lit(MISSING_REFERENCE)))
+def _accepted() -> Column:
+    """No URI of the row holds a character that cannot be written."""
+    bad = F.coalesce(F.col("projectref").rlike(BAD_URI), F.lit(False))
+    for column in ROW_COLUMNS:
+        if column in _TEXT_COLUMNS:
+            bad = bad | F.coalesce(F.col(column).rlike(f"(?s)^http.*{BAD_URI}"), F.lit(False))
+    return ~bad
+
+
+def _subject(base: str) -> Column:
+    return F.concat(F.lit(base), F.coalesce("projectref", F.lit(MISSING_REFERENCE)))
+
+
+def _row_statements(base: str) -> list[Column]:
+    """The statement of each column; null for -1, missing values and rejected rows."""
+    subject = _subject(base)
 
     def statement(column: str) -> Column:
         value = F.col(column).cast("string")
-        linked = value.startswith("http")
+        linked = value.startswith("http") if column in _TEXT_COLUMNS else F.lit(False)
         return F.when(
-            value != "-1",
+            F.col("accepted") & (value != "-1"),
             _statement(
                 subject,
                 F.lit(base + column),
@@ -73,36 +88,28 @@ def row_statements(base: str = PROJECT_BASE) -> Column:
             ),
         )
 
-    return F.array_compact(F.array(*map(statement, ROW_COLUMNS)))
+    return [statement(column) for column in ROW_COLUMNS]
 
 
-def _has_bad_uri(statements: Column) -> Column:
-    return F.exists(
-        statements,
-        lambda t: t["s"].rlike(BAD_URI) | ((t["o_kind"] == "uri") & t["o"].rlike(BAD_URI)),
-    )
-
-
-def _with_statements(df: DataFrame, base: str) -> DataFrame:
-    """``(row_id, statements, accepted)``; ``accepted`` is null for a row with a bad URI.
-
-    Rows are skipped by exploding a null instead of by a filter: a filter would be
-    pushed below the projection and build all statements a second time.
-    """
+def _with_accepted(df: DataFrame) -> DataFrame:
     require_columns(df, ROW_COLUMNS)
-    built = df.select("row_id", row_statements(base).alias("statements"))
-    good = ~_has_bad_uri(F.col("statements"))
-    return built.withColumn("accepted", F.when(good, F.col("statements")))
+    return df.select("row_id", *ROW_COLUMNS, _accepted().alias("accepted"))
 
 
 def row_triples(df: DataFrame, base: str = PROJECT_BASE) -> DataFrame:
-    """``(row_id, s, p, o, o_kind, o_datatype)``; rows with a bad URI are skipped."""
-    return _with_statements(df, base).select("row_id", F.inline("accepted"))
+    """``(row_id, s, p, o, o_kind, o_datatype)``; rows with a bad URI are skipped.
+
+    Skipping happens after the array is taken apart. A condition on the row
+    would be pushed below the projections and evaluate all of them twice.
+    """
+    statements = F.array(*_row_statements(base))
+    opened = _with_accepted(df).select("row_id", F.inline(statements))
+    return opened.filter(F.col("p").isNotNull())
 
 
-def rejected_rows(df: DataFrame, base: str = PROJECT_BASE) -> DataFrame:
+def rejected_rows(df: DataFrame) -> DataFrame:
     """Rows that :func:`row_triples` skips."""
-    return _with_statements(df, base).filter(F.col("accepted").isNull()).select("row_id")
+    return _with_accepted(df).filter(~F.col("accepted")).select("row_id")
 
 
 def observation_triples(df: DataFrame, repo_uri: str) -> DataFrame:
@@ -140,19 +147,27 @@ def _escaped(text: Column) -> Column:
     return text
 
 
-def _ntriple(s: Column, p: Column, o: Column, kind: Column, datatype: Column) -> Column:
-    quoted = F.concat(F.lit('"'), _escaped(o), F.lit('"'))
-    typed = F.when(
-        datatype.isNull() | (datatype == XSD_STRING), quoted
-    ).otherwise(F.concat(quoted, F.lit("^^<"), datatype, F.lit(">")))
-    node = F.when(kind == "uri", F.concat(F.lit("<"), o, F.lit(">"))).otherwise(typed)
-    return F.concat(F.lit("<"), s, F.lit("> <"), p, F.lit("> "), node, F.lit(" ."))
+def _line(subject: Column, predicate: Column, node: Column) -> Column:
+    return F.concat(F.lit("<"), subject, F.lit("> <"), predicate, F.lit("> "), node, F.lit(" ."))
+
+
+def _uri_node(value: Column) -> Column:
+    return F.concat(F.lit("<"), value, F.lit(">"))
+
+
+def _text_node(value: Column) -> Column:
+    return F.concat(F.lit('"'), _escaped(value), F.lit('"'))
 
 
 def ntriples(triples: DataFrame) -> DataFrame:
     """One N-Triples line per statement (also valid Turtle)."""
-    parts = [F.col(c) for c in ("s", "p", "o", "o_kind", "o_datatype")]
-    return triples.select(_ntriple(*parts).alias("value"))
+    typed = F.concat(_text_node(F.col("o")), F.lit("^^"), _uri_node(F.col("o_datatype")))
+    node = (
+        F.when(F.col("o_kind") == "uri", _uri_node(F.col("o")))
+        .when(F.col("o_datatype") == XSD_STRING, _text_node(F.col("o")))
+        .otherwise(F.coalesce(typed, _text_node(F.col("o"))))
+    )
+    return triples.select(_line(F.col("s"), F.col("p"), node).alias("value"))
 
 
 def row_documents(df: DataFrame, base: str = PROJECT_BASE) -> DataFrame:
@@ -160,11 +175,19 @@ def row_documents(df: DataFrame, base: str = PROJECT_BASE) -> DataFrame:
 
     The document is built inside the row, so no grouping is needed.
     """
-    built = _with_statements(df, base)
-    lines = F.transform(
-        "accepted",
-        lambda t: _ntriple(t["s"], t["p"], t["o"], t["o_kind"], t["o_datatype"]),
+
+    def line(column: str) -> Column:
+        value = F.col(column).cast("string")
+        node = _text_node(value)
+        if column in _TEXT_COLUMNS:
+            node = F.when(value.startswith("http"), _uri_node(value)).otherwise(node)
+        else:
+            node = F.concat(F.lit('"'), value, F.lit('"'))
+        return F.when(value != "-1", _line(F.col("subject"), F.lit(base + column), node))
+
+    rows = _with_accepted(df).withColumn("subject", _subject(base))
+    text = F.concat(F.concat_ws("\n", *map(line, ROW_COLUMNS)), F.lit("\n"))
+    opened = rows.select(
+        "row_id", F.explode(F.array(F.when(F.col("accepted"), text))).alias("value")
     )
-    text = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
-    # One-element arrays: a skipped row gives no document, without a filter.
-    return built.select("row_id", F.explode(F.when(text.isNotNull(), F.array(text))).alias("value"))
+    return opened.filter(F.col("value").isNotNull())

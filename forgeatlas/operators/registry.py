@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeatlas.functions import urls
@@ -39,10 +39,14 @@ def convert_http_to_https(df: DataFrame) -> DataFrame:
 def extract_and_flag_domains(df: DataFrame) -> DataFrame:
     """Host of non-duplicates; every row without a host is unsupported."""
     _require_url(df)
-    domain = F.when(~F.col("duplicate_flag"), urls.host(F.col("repourl")))
-    return df.withColumn("repodomain", domain).withColumn(
-        "unsupported_url_scheme", F.col("repodomain").isNull()
-    )
+    found = F.when(~F.col("duplicate_flag"), urls.host_or_empty(F.col("repourl")))
+    supported = F.col("_host") != ""
+    return df.select(
+        "*",
+        found.alias("_host"),
+        F.when(supported, F.col("_host")).alias("repodomain"),
+        F.coalesce(~supported, F.lit(True)).alias("unsupported_url_scheme"),
+    ).drop("_host")
 
 
 def mark_incomplete_urls(df: DataFrame) -> DataFrame:
@@ -62,13 +66,28 @@ def get_base_repo_url(df: DataFrame) -> DataFrame:
     eligible = ~(
         F.col("duplicate_flag") | F.col("unsupported_url_scheme") | F.col("incomplete_url_flag")
     )
-    url, kept = F.col("repourl"), F.col("_kept")
-    return (
-        df.withColumn("_kept", F.when(eligible, urls.base_path(url)))
-        .withColumn("base_repo_url", F.when(kept.isNotNull(), urls.base_url(url, kept)))
-        .withColumn("base_repo_url_flag", F.when(eligible, kept.isNull()))
-        .drop("_kept")
+    return with_base_url(df, eligible)
+
+
+def with_base_url(df: DataFrame, eligible: Column) -> DataFrame:
+    """B7 on the rows that are ``eligible``. Each step is a column of its own, so that no
+    pattern is evaluated twice for a row."""
+    url, direct, kept = F.col("repourl"), F.col("_direct"), F.col("_kept")
+    failed = F.when(
+        F.col("_eligible"), (F.coalesce(url, F.lit("")) == "") | (~direct & (kept == ""))
     )
+    # Later items of the select list refer to earlier ones.
+    return df.select(
+        "*",
+        eligible.alias("_eligible"),
+        F.when(F.col("_eligible"), urls.is_direct(url)).alias("_direct"),
+        F.when(F.col("_eligible"), urls.path(url)).alias("_path"),
+        F.when(direct, F.col("_path"))
+        .otherwise(urls.first_two_segments(F.col("_path")))
+        .alias("_kept"),
+        failed.alias("base_repo_url_flag"),
+        F.when(~F.col("base_repo_url_flag"), urls.base_url(url, kept)).alias("base_repo_url"),
+    ).drop("_eligible", "_direct", "_path", "_kept")
 
 
 def clean_registry(df: DataFrame, *, canonicalise_first: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeatlas.operators.hosts import MIN_ROWS, OTHER, report_lines, with_bucket
+from forgeatlas.operators.hosts import MIN_ROWS, report_lines, with_bucket
 from forgeatlas.operators.rdf import PROJECT_BASE, row_documents
 
 ROWS_PER_FILE = 1_000_000
@@ -20,13 +20,11 @@ def write_per_host(df: DataFrame, path: str, *, min_rows: int = MIN_ROWS, fmt: s
     host column itself is not stored in the buckets.
     """
     rows = with_bucket(df, min_rows)
-    pooled = rows.filter(F.col("bucket") == OTHER).agg(F.count("*")).scalar()
-    share = F.ceil(F.coalesce(F.col("host_rows"), pooled) / F.lit(rows_per_file))
-    part = F.pmod(F.xxhash64("row_id"), F.greatest(share, F.lit(1)))
+    part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("bucket_rows") / F.lit(rows_per_file)))
     spread = rows.withColumn("_part", part).repartition("bucket", "_part")
     ordered = spread.sortWithinPartitions("bucket", "row_id")
     writer = (
-        ordered.drop("_part", "host_rows", "repodomain")
+        ordered.drop("_part", "bucket_rows", "repodomain")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .option("maxRecordsPerFile", rows_per_file)
