@@ -86,10 +86,12 @@ def fill_forward(
     )
 
 
-def fill_by_row_id(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
+def fill_by_row_id(
+    df: DataFrame, columns: list[str], row_id: str = "row_id", bits: int = BLOCK_BITS
+) -> DataFrame:
     """F1 on a table that already has a global ``row_id``; leaves ``_block`` behind so
     that the next order-sensitive step can use the same partitioning."""
-    df = df.withColumn("_block", block_of(F.col(row_id)))
+    df = df.withColumn("_block", block_of(F.col(row_id), bits))
     return fill_forward(df, columns, group=[], block="_block", order=row_id)
 
 

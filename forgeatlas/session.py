@@ -13,6 +13,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every column expression costs more than building it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # File contents travel to Python workers in small Arrow batches.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }

@@ -11,10 +11,13 @@ from forgeatlas.operators.languages import language_rows
 from forgeatlas.schemas import GUESSED_LANGUAGES
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | None = None, *, multi_line: bool = False
+) -> DataFrame:
     """A4/A5: CSV with header. A declared schema saves the extra pass of inference; a
-    missing path raises, a table without rows keeps the declared schema."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    missing path raises, a table without rows keeps the declared schema. Files whose
+    fields hold line breaks need ``multi_line`` and cannot be split."""
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
