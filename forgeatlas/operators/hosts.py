@@ -49,6 +49,16 @@ def small_host_total(df: DataFrame, big_host_gt: int = BIG_HOST_GT) -> DataFrame
     )
 
 
+def small_host_rows(df: DataFrame, big_host_gt: int = BIG_HOST_GT) -> DataFrame:
+    """Rows whose host is small. The frequent hosts, which have no match here, are
+    kept apart by the lookup and do not meet in one task."""
+    counts = cut_lineage(known_host_counts(df).select("repodomain", "n"))
+    small = counts.filter(F.col("n") <= big_host_gt)
+    hot = frequent_keys(counts, "repodomain")
+    found = lookup(df, small, "repodomain", spread="row_id", hot=hot)
+    return found.filter(F.col("n").isNotNull()).select(*df.columns)
+
+
 def distinct_hosts(df: DataFrame) -> DataFrame:
     """E14."""
     return df.select("repodomain").distinct()

@@ -169,6 +169,11 @@ def small_host_total(spark, sf_dir):
     return hosts.small_host_total(_clean(spark, sf_dir))
 
 
+@query
+def small_host_rows(spark, sf_dir):
+    return hosts.small_host_rows(_clean(spark, sf_dir)).select("row_id", "repodomain")
+
+
 @query
 def distinct_hosts(spark, sf_dir):
     return hosts.distinct_hosts(_clean(spark, sf_dir))
@@ -496,6 +501,12 @@ def code_metrics(spark, sf_dir):
     return metrics.code_metrics(_sources(spark, sf_dir))
 
 
+@query
+def python_files(spark, sf_dir):
+    labelled = languages.label_files(inputs.files(spark, sf_dir))
+    return metrics.python_files(labelled).select("doc_id", "host", "repo", "dir", "name")
+
+
 @query
 def metrics_pending(spark, sf_dir):
     done = derive(spark, sf_dir, inputs.LABELLED_PATHS)

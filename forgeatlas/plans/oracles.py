@@ -296,6 +296,9 @@ def build() -> dict[str, str]:
       from clean where repodomain is not null group by repodomain"""
     sql["small_host_total"] = f"""{CLEAN} select cast(coalesce(sum(n), 0) as bigint) as small_total from
       (select count(*) as n from clean where repodomain is not null group by repodomain) where n <= {hosts.BIG_HOST_GT}"""
+    sql["small_host_rows"] = f"""{CLEAN} select row_id, repodomain from
+      (select row_id, repodomain, count(*) over (partition by repodomain) as n from clean where repodomain is not null)
+      where n <= {hosts.BIG_HOST_GT}"""
     sql["distinct_hosts"] = f"{CLEAN} select distinct repodomain from clean"
     sql["top_hosts"] = f"""{CLEAN} select repodomain, count(*) as n, min(row_id) as first_row_id
       from clean where repodomain is not null group by repodomain"""
@@ -377,6 +380,8 @@ def build() -> dict[str, str]:
 
     # Metrics -------------------------------------------------------------
     sql["code_metrics"] = _METRICS_TYPED
+    sql["python_files"] = f"""with files as ({_FILES}) select doc_id, host, repo, dir, name from files
+      where {_LANG} = 'Python'"""
     sql["metrics_pending"] = f"{_METRICS_TYPED} where file_path not in ({_LABELLED})"
     sql["metrics_append"] = _METRICS_TYPED
     sql["metrics_rollup"] = f"""with m as (select *, cast(regexp_extract(file_path, '[0-9]+') as bigint) % 17 as repo_no from ({_METRICS}))

@@ -13,6 +13,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State of streams (paths seen so far) lives on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Recording the call site of every column expression costs more than building it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # File contents travel to Python workers in small Arrow batches.

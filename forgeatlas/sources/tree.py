@@ -125,7 +125,7 @@ def _reader(root: str):
     return read
 
 
-def read_contents(files: DataFrame, root: str, bytes_per_task: int = 128 << 20) -> DataFrame:
+def read_contents(files: DataFrame, root: str, bytes_per_task: int = 512 << 20) -> DataFrame:
     """A10: whole text of the listed files; a file that is unreadable or not UTF-8 has
     no content and says why.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,26 +21,29 @@ def measure_stream(
     checkpoint: str,
     *,
     files_per_batch: int = 100,
+    done: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Measure the files of new manifests; a file measured before is skipped.
+    """Measure the files of new manifests; a path seen before is skipped.
 
-    The unit of progress is the micro-batch. A batch writes only its own folder
-    and replaces it when it is replayed after a failure, so every file is in the
-    result once.
+    Seen paths are state of the stream, partitioned by path, so a batch does not
+    read earlier results again. ``done`` names files measured elsewhere. The unit
+    of progress is the micro-batch: it writes only its own folder and replaces it
+    when it is replayed after a failure, so every file is in the result once.
     """
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_table(batch.sparkSession, target, _STORED).filter(
-            F.col("batch_id") < batch_id
-        )
-        fresh = unmeasured(batch.dropDuplicates(["file_path"]), earlier)
-        code_metrics(fresh).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        code_metrics(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    return (
+    listed = (
         spark.readStream.schema(MANIFEST)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(manifests)
-        .writeStream.foreachBatch(process)
+    )
+    if done is not None:
+        listed = unmeasured(listed, done)
+    return (
+        listed.dropDuplicates(["file_path"])
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -179,6 +179,14 @@ def test_stream_resumes(spark, tmp_path):
     assert len(got) == 21 and set(got) == {f"f{i}.py" for i in range(20)} | {"g.py"}
 
 
+def test_stream_skips_files_measured_elsewhere(spark, tmp_path):
+    listed = spark.createDataFrame([("a.py", "x = 1"), ("b.py", "x = 1")], "file_path string, content string")
+    listed.write.parquet(str(tmp_path / "in"))
+    done = spark.createDataFrame([("a.py",)], "file_path string")
+    measure_stream(spark, *(str(tmp_path / n) for n in ("in", "out", "ckpt")), done=done).awaitTermination()
+    assert [r.file_path for r in measured(spark, str(tmp_path / "out")).collect()] == ["b.py"]
+
+
 def test_api_bodies(spark):
     pages = spark.createDataFrame(
         [("o/r", '{"items":[{"name":"a","path":"test/a"},{"name":"b","path":"t/b"}]}'),
