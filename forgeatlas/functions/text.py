@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters Python's str.strip() removes; Java's \s alone covers ASCII only.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+# The characters Python's str.strip() removes.
+SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# End of fixed values.
 # Characters Python's \w accepts: letters, numbers of any script, underscore.
 WORD = r"\p{L}\p{N}_"
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(value, F.lit(SPACE))
 
 
 def sanitise_name(name: Column) -> Column:

@@ -41,12 +41,12 @@ _HOST = (
 
 def trim_url(url: Column) -> Column:
     """B1: leading ``+``, then trailing ``/``, then outer white space."""
-    return strip(strip_trailing_slash(F.regexp_replace(url, r"^\++", "")))
+    return strip(strip_trailing_slash(F.ltrim(url, F.lit("+"))))
 
 
 def strip_trailing_slash(url: Column) -> Column:
     """B4."""
-    return F.regexp_replace(url, r"/+\z", "")
+    return F.rtrim(url, F.lit("/"))
 
 
 def upgrade_scheme(url: Column) -> Column:
@@ -59,42 +59,47 @@ def canonical_scheme(url: Column) -> Column:
     return F.regexp_replace(url, r"https?://(www\.)?", "https://")
 
 
-def _parsable(url: Column) -> Column:
-    # The URL standard ignores these characters; leading blanks are skipped below.
-    return F.translate(url, "\t\r\n", "")
+def parsable(url: Column) -> Column:
+    """The URL without the characters the URL standard ignores anywhere in it.
+
+    The functions below that read parts of a URL take this form. Leading blanks
+    are skipped by their patterns.
+    """
+    ignored = url.contains("\n") | url.contains("\r") | url.contains("\t")
+    return F.when(ignored, F.translate(url, "\t\r\n", "")).otherwise(url)
 
 
-def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(_parsable(url), rf"^{_BLANK}({_SCHEME}):", 1))
+def scheme(clean: Column) -> Column:
+    return F.lower(F.regexp_extract(clean, rf"^{_BLANK}({_SCHEME}):", 1))
 
 
-def netloc(url: Column) -> Column:
-    return F.regexp_extract(_parsable(url), rf"^{_BLANK}(?:{_SCHEME}:)?//([^/?#]*)", 1)
+def netloc(clean: Column) -> Column:
+    return F.regexp_extract(clean, rf"^{_BLANK}(?:{_SCHEME}:)?//([^/?#]*)", 1)
 
 
-def path(url: Column) -> Column:
+def path(clean: Column) -> Column:
     """Path without outer slashes, query and fragment, and without ``;params`` where the
     scheme has them."""
     whole = rf"^{_BLANK}(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)"
-    raw = F.regexp_extract(_parsable(url), whole, 1)
+    raw = F.regexp_extract(clean, whole, 1)
     with_params = rf"(?i)^{_BLANK}(?:(?:{'|'.join(PARAM_SCHEMES)}):|//|[^:]*\z)"
-    has_params = url.contains(";") & url.rlike(with_params)
+    has_params = clean.contains(";") & clean.rlike(with_params)
     kept = F.when(has_params, F.regexp_replace(raw, r";[^/]*\z", "")).otherwise(raw)
-    return F.regexp_replace(kept, r"^/+|/+\z", "")
+    return F.trim(kept, F.lit("/"))
 
 
-def host_or_empty(url: Column) -> Column:
+def host_or_empty(clean: Column) -> Column:
     """Lower-cased host without user info and port, for supported schemes only.
 
     One pattern finds it: scheme, user info, then the text between brackets or up
     to the port. Unbalanced brackets give no host.
     """
-    return F.lower(F.regexp_extract(_parsable(url), _HOST, 1))
+    return F.lower(F.regexp_extract(clean, _HOST, 1))
 
 
 def host(url: Column) -> Column:
     """Null instead of an empty host."""
-    return F.nullif(host_or_empty(url), F.lit(""))
+    return F.nullif(host_or_empty(parsable(url)), F.lit(""))
 
 
 def is_complete(url: Column) -> Column:
@@ -102,20 +107,12 @@ def is_complete(url: Column) -> Column:
     return F.coalesce(F.size(F.split(url, "/", -1)) >= EXPECTED_URL_PARTS, F.lit(False))
 
 
-def is_direct(url: Column) -> Column:
+def is_direct(location: Column) -> Column:
     """The network location contains one of the hosts that use the whole path."""
-    names = "|".join(name.replace(".", r"\.") for name in DIRECT_PATH_HOSTS)
-    return _parsable(url).rlike(rf"^{_BLANK}(?:{_SCHEME}:)?//[^/?#]*(?:{names})")
-
-
-def first_two_segments(path_: Column) -> Column:
-    """``a/b`` of ``a/b/c``; empty if there are fewer than two segments."""
-    return F.regexp_extract(path_, r"^([^/]*/[^/]*)", 1)
-
-
-def base_url(url: Column, kept: Column) -> Column:
-    """B7 for the part of the path that is kept; the location keeps case, port and user."""
-    return F.concat(scheme(url), F.lit("://"), netloc(url), F.lit("/"), kept)
+    direct = location.contains(DIRECT_PATH_HOSTS[0])
+    for name in DIRECT_PATH_HOSTS[1:]:
+        direct = direct | location.contains(name)
+    return direct
 
 
 def owner_and_repo(url: Column) -> Column:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from forgeatlas.session import cut_lineage
 
-# 2**20 consecutive row ids form one block.
-BLOCK_BITS = 20
+# 2**18 consecutive row ids form one block: enough blocks to occupy a cluster, and
+# 4 million of them for 10**12 rows.
+BLOCK_BITS = 18
 
 
 def block_of(row_id: Column, bits: int = BLOCK_BITS) -> Column:
@@ -35,7 +36,7 @@ def carry_over(
     """For one row per ``(group, block)`` with ``tail`` and ``n`` add ``carry`` (last
     non-null tail of the blocks before) and ``offset`` (rows of the blocks before).
 
-    The window sees one small row per block, that is one per million rows or per
+    The window sees one small row per block, that is one per 2**18 rows or per
     input split. ``chain`` makes the groups, in their order, one sequence:
     ``"rows"`` for the offset only, ``"fill"`` for both.
     """

@@ -39,7 +39,7 @@ def convert_http_to_https(df: DataFrame) -> DataFrame:
 def extract_and_flag_domains(df: DataFrame) -> DataFrame:
     """Host of non-duplicates; every row without a host is unsupported."""
     _require_url(df)
-    found = F.when(~F.col("duplicate_flag"), urls.host_or_empty(F.col("repourl")))
+    found = F.when(~F.col("duplicate_flag"), urls.host_or_empty(urls.parsable(F.col("repourl"))))
     supported = F.col("_host") != ""
     return df.select(
         "*",
@@ -72,22 +72,21 @@ def get_base_repo_url(df: DataFrame) -> DataFrame:
 def with_base_url(df: DataFrame, eligible: Column) -> DataFrame:
     """B7 on the rows that are ``eligible``. Each step is a column of its own, so that no
     pattern is evaluated twice for a row."""
-    url, direct, kept = F.col("repourl"), F.col("_direct"), F.col("_kept")
-    failed = F.when(
-        F.col("_eligible"), (F.coalesce(url, F.lit("")) == "") | (~direct & (kept == ""))
-    )
+    url, clean, path = F.col("repourl"), F.col("_clean"), F.col("_path")
+    direct = F.col("_direct")
+    too_short = ~direct & ~path.contains("/")
+    kept = F.when(direct, path).otherwise(F.substring_index(path, "/", 2))
+    built = F.concat(urls.scheme(clean), F.lit("://"), F.col("_netloc"), F.lit("/"), kept)
     # Later items of the select list refer to earlier ones.
     return df.select(
         "*",
-        eligible.alias("_eligible"),
-        F.when(F.col("_eligible"), urls.is_direct(url)).alias("_direct"),
-        F.when(F.col("_eligible"), urls.path(url)).alias("_path"),
-        F.when(direct, F.col("_path"))
-        .otherwise(urls.first_two_segments(F.col("_path")))
-        .alias("_kept"),
-        failed.alias("base_repo_url_flag"),
-        F.when(~F.col("base_repo_url_flag"), urls.base_url(url, kept)).alias("base_repo_url"),
-    ).drop("_eligible", "_direct", "_path", "_kept")
+        F.when(eligible, F.coalesce(urls.parsable(url), F.lit(""))).alias("_clean"),
+        urls.netloc(clean).alias("_netloc"),
+        urls.path(clean).alias("_path"),
+        urls.is_direct(F.col("_netloc")).alias("_direct"),
+        ((clean == "") | too_short).alias("base_repo_url_flag"),
+        F.when(~F.col("base_repo_url_flag"), built).alias("base_repo_url"),
+    ).drop("_clean", "_netloc", "_path", "_direct")
 
 
 def clean_registry(df: DataFrame, *, canonicalise_first: bool = False) -> DataFrame:
