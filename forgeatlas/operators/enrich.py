@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forgeatlas.functions import urls
 from forgeatlas.operators.lookup import lookup
 from forgeatlas.operators.runners import rule_columns
+from forgeatlas.session import cut_lineage
 
 NOT_COUNTED = -1
 
@@ -72,7 +73,7 @@ def completed_keys(results: DataFrame) -> DataFrame:
 
 def pending(df: DataFrame, results: DataFrame) -> DataFrame:
     """D3: processable rows whose repository key has no finished result."""
-    done = completed_keys(results).withColumn("_done", F.lit(True))
+    done = cut_lineage(completed_keys(results)).withColumn("_done", F.lit(True))
     return lookup(df, done, "repo_key", spread="row_id").filter(F.col("_done").isNull()).drop(
         "_done"
     )
@@ -80,7 +81,7 @@ def pending(df: DataFrame, results: DataFrame) -> DataFrame:
 
 def match_tree(df: DataFrame, repos: DataFrame) -> DataFrame:
     """Rows whose repository key has a checked-out tree (``repos``: unique ``repo_key``)."""
-    present = repos.select("repo_key").distinct().withColumn("_present", F.lit(True))
+    present = cut_lineage(repos.select("repo_key").distinct()).withColumn("_present", F.lit(True))
     return lookup(df, present, "repo_key", spread="row_id").filter(F.col("_present")).drop(
         "_present"
     )
@@ -89,11 +90,13 @@ def match_tree(df: DataFrame, repos: DataFrame) -> DataFrame:
 def write_back(df: DataFrame, results: DataFrame, rules=None) -> DataFrame:
     """Per-repository results added to every registry row with that key.
 
-    Rows without a result keep the "not computed" values of B19.
+    Rows without a result keep the "not computed" values of B19. The results, one
+    row per repository, are stored before they are joined: the lookup reads them
+    twice, and behind them may be a scan of all files.
     """
     found = [c for c in results.columns if c != "repo_key"]
     base = df.drop(*found)
-    joined = lookup(base, results, "repo_key", spread="row_id")
+    joined = lookup(base, cut_lineage(results), "repo_key", spread="row_id")
     defaults = {"testfilecountlocal": NOT_COUNTED} | {name: 0 for name in rule_columns(rules)}
     return joined.withColumns(
         {

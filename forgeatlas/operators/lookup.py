@@ -11,9 +11,10 @@ HOT_KEYS = 1000
 
 
 def frequent_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """The at most HOT_KEYS most frequent keys of a ``(key, n)`` table."""
+    """The at most HOT_KEYS most frequent keys of a ``(key, n)`` table; a missing key has
+    the count 0."""
     return (
-        counts.filter(F.col(key).isNotNull())
+        counts.filter(F.col(n) > 0)
         .orderBy(F.desc(n), key)
         .limit(HOT_KEYS)
         .select(key)
@@ -33,12 +34,14 @@ def lookup(
     Rows of the most frequent keys are answered from a broadcast of at most
     HOT_KEYS rows. In the shuffle join that answers the rest they, and the rows
     without a key, carry a value of their own made from the unique column
-    ``spread``, so that no task receives all rows of one key.
+    ``spread``, so that no task receives all rows of one key. Both sides are read
+    twice (``left`` for the frequencies unless ``hot`` is given): pass stored tables
+    where computing them is expensive.
     """
     values = [c for c in right.columns if c != key]
     packed = right.select(key, F.struct(*values).alias("_value"))
     if hot is None:
-        hot = frequent_keys(left.groupBy(key).agg(F.count("*").alias("n")), key)
+        hot = frequent_keys(left.groupBy(key).agg(F.count(key).alias("n")), key)
     hot_rows = packed.join(F.broadcast(hot), key, "left_semi").withColumnRenamed(
         "_value", "_hot"
     )

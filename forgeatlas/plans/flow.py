@@ -1,7 +1,7 @@
 """Flow graph of the enriched registry: node and link tables.
 
-One pass over the registry reduces it to counts per (host, stage, runner,
-bucket); everything else works on these counts.
+One pass over the registry reduces it to counts per host and stage and per runner
+and bucket; everything else works on these counts.
 """
 
 from __future__ import annotations
@@ -34,10 +34,11 @@ def with_flow_columns(df: DataFrame) -> DataFrame:
 
 
 def flow_counts(df: DataFrame, big_host_gt: int = BIG_HOST_GT) -> DataFrame:
-    """Rows per host, stage, runner and bucket, with the size of the host.
+    """Rows per (host, duplicate, stage) and, apart from it, per (cloned, runner, bucket).
 
-    A host has at most a few dozen such rows, so the window that adds up the
-    host total sees small groups whatever the size of the host.
+    Both groupings come from one pass and combine on the map side; what is
+    shuffled is a few rows per host and task, whatever the size of the host. The
+    window that adds up the host total sees these few rows.
     """
     counts = [F.col(c) for c in _RUNNER_COUNTS]
     alive = ~F.col("duplicate_flag")
@@ -47,20 +48,27 @@ def flow_counts(df: DataFrame, big_host_gt: int = BIG_HOST_GT) -> DataFrame:
         .when(complete & (F.col("clone_status") == "failed"), labels.NOT_CLONED)
         .when(complete & (F.col("clone_status") == "successful"), labels.CLONED)
     )
+    cloned = F.coalesce(F.col("clone_status") == "successful", F.lit(False))
+    by_host = ["repodomain", "duplicate_flag", "stage"]
+    by_runner = ["cloned", "runner", "bucket"]
     reduced = (
         df.select(
             "repodomain",
             "row_id",
             "duplicate_flag",
             stage.alias("stage"),
-            F.coalesce(F.col("clone_status") == "successful", F.lit(False)).alias("cloned"),
-            labels.primary_runner(*counts).alias("runner"),
-            labels.count_bucket(F.col("testfilecountlocal")).alias("bucket"),
+            cloned.alias("cloned"),
+            F.when(cloned, labels.primary_runner(*counts)).alias("runner"),
+            F.when(cloned, labels.count_bucket(F.col("testfilecountlocal"))).alias("bucket"),
+        )
+        .groupingSets([by_host, by_runner], *by_host, *by_runner)
+        .agg(
+            F.count("*").alias("n"),
+            F.min("row_id").alias("first_row_id"),
+            F.grouping("repodomain").alias("without_host"),
         )
-        .groupBy("repodomain", "duplicate_flag", "stage", "cloned", "runner", "bucket")
-        .agg(F.count("*").alias("n"), F.min("row_id").alias("first_row_id"))
     )
-    of_host = W.partitionBy("repodomain")
+    of_host = W.partitionBy("without_host", "repodomain")
     known = F.col("repodomain").isNotNull()
     return (
         reduced.withColumn("host_n", F.sum("n").over(of_host))
