@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forgeatlas.session import cut_lineage
+
+# A lookup table is broadcast whole only within these bounds, which are checked.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # Outside the HOT_KEYS most frequent keys no key holds more than
 # 1/(HOT_KEYS + 1) of the rows. Their table is broadcast; this is its row bound.
 HOT_KEYS = 1000
@@ -21,6 +26,17 @@ def frequent_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     )
 
 
+def _is_small(stored: DataFrame) -> bool:
+    """Whether a stored table is within the broadcast bounds; looks at no more rows."""
+    text = F.to_json(F.struct(*stored.columns))
+    seen = (
+        stored.limit(BROADCAST_ROWS + 1)
+        .agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b"))
+        .first()
+    )
+    return seen["n"] <= BROADCAST_ROWS and seen["b"] <= BROADCAST_BYTES
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -31,15 +47,19 @@ def lookup(
 ) -> DataFrame:
     """Add the columns of ``right`` (unique in ``key``) to the rows of ``left``.
 
-    Rows of the most frequent keys are answered from a broadcast of at most
-    HOT_KEYS rows. In the shuffle join that answers the rest they, and the rows
-    without a key, carry a value of their own made from the unique column
-    ``spread``, so that no task receives all rows of one key. Both sides are read
-    twice (``left`` for the frequencies unless ``hot`` is given): pass stored tables
-    where computing them is expensive.
+    ``right`` is stored first, so that what is behind it is computed once. A small
+    ``right`` is broadcast and the rows of ``left`` stay where they are. Beyond
+    the bounds the rows of the most frequent keys are answered from a broadcast
+    of at most HOT_KEYS rows; in the shuffle join that answers the rest they, and
+    the rows without a key, carry a value of their own made from the unique
+    column ``spread``, so that no task receives all rows of one key. Unless
+    ``hot`` names the frequent keys, ``left`` is read a second time to count them.
     """
     values = [c for c in right.columns if c != key]
-    packed = right.select(key, F.struct(*values).alias("_value"))
+    packed = cut_lineage(right.select(key, F.struct(*values).alias("_value")))
+    if _is_small(packed):
+        joined = left.join(F.broadcast(packed), key, "left")
+        return joined.withColumns({c: F.col("_value")[c] for c in values}).drop("_value")
     if hot is None:
         hot = frequent_keys(left.groupBy(key).agg(F.count(key).alias("n")), key)
     hot_rows = packed.join(F.broadcast(hot), key, "left_semi").withColumnRenamed(

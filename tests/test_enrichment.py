@@ -101,10 +101,14 @@ def test_count_buckets(rows):
     assert [r.b for r in out.collect()] == [n if n is None else labels.BUCKETS[n] for n in numbers]
 
 
-@pytest.mark.parametrize("hot_keys", [1, 1000])
-def test_lookup_matches_a_plain_join(rows, monkeypatch, hot_keys):
+@pytest.mark.parametrize(
+    "bound, limit, hot_keys",
+    [("BROADCAST_ROWS", 0, 1), ("BROADCAST_BYTES", 1, 1000), ("BROADCAST_ROWS", 4, 1)],
+)
+def test_lookup_matches_a_plain_join(rows, monkeypatch, bound, limit, hot_keys):
     """Hot, missing and unmatched keys, answered from either side of the split."""
     monkeypatch.setattr(lookup_module, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(lookup_module, bound, limit)
     keys = ["hot"] * 300 + ["warm"] * 50 + [f"k{i}" for i in range(40)] + [None] * 100
     left = rows([(i, k) for i, k in enumerate(keys)], "row_id long, key string")
     known = {"hot": 1, "warm": 2, "k3": 3, "k4": None}
@@ -115,6 +119,19 @@ def test_lookup_matches_a_plain_join(rows, monkeypatch, hot_keys):
     ]
 
 
+def test_lookup_plan_depends_on_the_checked_size(rows, monkeypatch):
+    left = rows([(0, "a")], "row_id long, key string")
+    right = rows([("a", 1)], "key string, v long")
+
+    def joins():
+        df = lookup(left, right, "key", spread="row_id")
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+
+    assert joins() == 1
+    monkeypatch.setattr(lookup_module, "BROADCAST_ROWS", 0)
+    assert joins() == 2
+
+
 def test_pending_and_write_back(rows):
     schema = "row_id long, repo_key string"
     keyed = rows([(0, "a/x"), (1, "a/x"), (2, "a/y"), (3, None)], schema)
