@@ -10,7 +10,9 @@ import __spark_entry__ as entry_module
 
 from conftest import TESTDATA
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from forgeatlas.plans import catalog
+
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
