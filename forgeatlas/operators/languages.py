@@ -125,7 +125,8 @@ def language_rows(labelled: DataFrame, *, now: Column | None = None,
 
 def merge_upsert(old: DataFrame, new: DataFrame, *, key: str = "file_path",
                  now: Column | None = None) -> DataFrame:
-    """K2: new values replace old ones, ``date_created`` is kept, ``date_updated`` is now.
+    """K2: new values replace old ones, null values too; ``date_created`` is kept,
+    ``date_updated`` is now.
 
     Returns the next snapshot. Several new rows for one key are reduced to the
     one with the highest ``id`` (combined on the map side) before the join.
@@ -138,7 +139,8 @@ def merge_upsert(old: DataFrame, new: DataFrame, *, key: str = "file_path",
     packed = old.select(key, F.struct(*fields).alias("_old"))
     joined = packed.join(latest, key, "full")
     both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
-    chosen = {c: F.coalesce(F.col("_new")[c], F.col("_old")[c]) for c in fields}
+    given = F.col("_new").isNotNull()
+    chosen = {c: F.when(given, F.col("_new")[c]).otherwise(F.col("_old")[c]) for c in fields}
     chosen["id"] = F.coalesce(F.col("_old")["id"], F.col("_new")["id"])
     chosen["date_created"] = F.coalesce(
         F.col("_old")["date_created"], F.col("_new")["date_created"]

@@ -22,6 +22,10 @@ def block_of(row_id: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(row_id, bits)
 
 
+# 2**12 blocks form one block of blocks: 10**12 rows have a thousand of them.
+SUPER_BITS = 12
+
+
 def _before(order: list[str], partition: list[str] | None = None):
     return (
         W.partitionBy(*(partition or [F.lit(0)]))
@@ -31,69 +35,110 @@ def _before(order: list[str], partition: list[str] | None = None):
 
 
 def carry_over(
-    blocks: DataFrame, group: list[str], block: str, *, chain: str | None = None
+    blocks: DataFrame,
+    group: list[str],
+    block: str,
+    tails: list[str],
+    *,
+    chain: str | None = None,
+    super_bits: int | None = None,
 ) -> DataFrame:
-    """For one row per ``(group, block)`` with ``tail`` and ``n`` add ``carry`` (last
-    non-null tail of the blocks before) and ``offset`` (rows of the blocks before).
+    """For one row per ``(group, block)`` with ``tails`` and ``n`` replace every tail by its
+    last non-null value in the blocks before, and add ``offset`` (rows of the blocks before).
 
-    The window sees one small row per block, that is one per 2**18 rows or per
-    input split. ``chain`` makes the groups, in their order, one sequence:
-    ``"rows"`` for the offset only, ``"fill"`` for both.
+    With ``super_bits`` the blocks are numbers, and 2**super_bits of them are handled by one
+    task; what crosses these borders is one row per block of blocks. Without it a group is
+    one window of one small row per block. ``chain`` makes the groups, in their order, one
+    sequence: ``"rows"`` for the offset only, ``"fill"`` for both.
     """
-    inside = _before([block], group)
-    overall = _before([*group, block])
-    carry = F.last("tail", ignorenulls=True).over(overall if chain == "fill" else inside)
-    offset = F.coalesce(F.sum("n").over(overall if chain else inside), F.lit(0))
-    return blocks.select(*group, block, carry.alias("carry"), offset.alias("offset"))
+
+    def seen_before(rows: DataFrame, inside, overall, keys: list[str]) -> DataFrame:
+        fill = overall if chain == "fill" else inside
+        carries = [F.last(t, ignorenulls=True).over(fill).alias(t) for t in tails]
+        offset = F.coalesce(F.sum("n").over(overall if chain else inside), F.lit(0))
+        return rows.select(*keys, *carries, offset.alias("offset"))
+
+    if super_bits is None:
+        return seen_before(
+            blocks, _before([block], group), _before([*group, block]), [*group, block]
+        )
+    if chain:
+        raise ValueError("blocks of blocks belong to one group at a time")
+    blocks = blocks.withColumn("_super", F.shiftright(block, super_bits))
+    keys = [*group, "_super"]
+    within = _before([block], keys)
+    near = seen_before(blocks, within, within, [*keys, block])
+    sums = blocks.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        *(F.max_by(t, F.when(F.col(t).isNotNull(), F.col(block))).alias(t) for t in tails),
+    )
+    over = _before(["_super"], group)
+    far = seen_before(sums, over, over, keys).withColumnsRenamed(
+        {c: f"_far_{c}" for c in [*tails, "offset"]}
+    )
+    carries = [F.coalesce(t, f"_far_{t}").alias(t) for t in tails]
+    offset = (F.col("offset") + F.col("_far_offset")).alias("offset")
+    return near.join(far, keys).select(*group, block, *carries, offset)
 
 
 def fill_forward(
     df: DataFrame,
-    columns: list[str],
+    units: list[list[str]],
     *,
     group: list[str],
     block: str,
     order: str,
     position: str | None = None,
     chain: str | None = None,
+    super_bits: int | None = None,
 ) -> DataFrame:
-    """replace nulls of ``columns`` by the values of the last header row before.
+    """replace nulls by the last values before.
 
-    ``columns`` move together as one struct. Rows are ordered by ``(block, order)``
-    within ``group``. With ``position`` a dense 0-based number is added as well;
-    see :func:`carry_over` for ``chain``.
+    The columns of a unit move together: they are replaced where all of them are null, by
+    those of the last row where one is not. Rows are ordered by ``(block, order)`` within
+    ``group``. With ``position`` a dense 0-based number is added as well; see
+    :func:`carry_over` for ``chain`` and ``super_bits``.
     """
-    header = F.struct(*columns)
-    is_header = F.coalesce(*columns).isNotNull()
-    tail = F.when(is_header, header)
+    headers = {f"_tail{k}": (F.struct(*u), F.coalesce(*u).isNotNull()) for k, u in enumerate(units)}
     blocks = df.groupBy(*group, block).agg(
-        F.max_by(header, F.when(is_header, F.col(order))).alias("tail"),
+        *(F.max_by(h, F.when(there, F.col(order))).alias(t) for t, (h, there) in headers.items()),
         F.count("*").alias("n"),
     )
     so_far = W.partitionBy(*group, block).orderBy(order)
-    filled = df.withColumn(
-        "_fill", F.last(tail, ignorenulls=True).over(
-            so_far.rowsBetween(W.unboundedPreceding, W.currentRow)
-        )
+    up_to_here = so_far.rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = df.withColumns(
+        {
+            f"_fill{t}": F.last(F.when(there, h), ignorenulls=True).over(up_to_here)
+            for t, (h, there) in headers.items()
+        }
     )
     if position:
         filled = filled.withColumn("_rank", F.row_number().over(so_far))
-    filled = filled.join(carry_over(blocks, group, block, chain=chain), [*group, block])
+    carried = carry_over(blocks, group, block, [*headers], chain=chain, super_bits=super_bits)
+    filled = filled.join(carried, [*group, block])
     if position:
         filled = filled.withColumn(position, F.col("offset") + F.col("_rank") - 1)
-    value = F.coalesce("_fill", "carry")
-    return filled.withColumns({c: value[c] for c in columns}).drop(
-        "_fill", "_rank", "carry", "offset"
+    values = {
+        c: F.coalesce(f"_fill{t}", t)[c] for t, unit in zip(headers, units, strict=True) for c in unit
+    }
+    return filled.withColumns(values).drop(
+        *headers, *(f"_fill{t}" for t in headers), "_rank", "offset"
     )
 
 
 def fill_by_row_id(
-    df: DataFrame, columns: list[str], row_id: str = "row_id", bits: int = BLOCK_BITS
+    df: DataFrame,
+    columns: list[str],
+    row_id: str = "row_id",
+    bits: int = BLOCK_BITS,
+    super_bits: int = SUPER_BITS,
 ) -> DataFrame:
     """F1 on a table that already has a global ``row_id``; leaves ``_block`` behind so
     that the next order-sensitive step can use the same partitioning."""
     df = df.withColumn("_block", block_of(F.col(row_id), bits))
-    return fill_forward(df, columns, group=[], block="_block", order=row_id)
+    return fill_forward(
+        df, [columns], group=[], block="_block", order=row_id, super_bits=super_bits
+    )
 
 
 def flag_repeats(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from forgeatlas.schemas import require_columns
 
-# Columns that become statements, in statement order, the subject
-# prefix and the vocabularies.
+# Columns that become statements, in statement order, the number that
+# stands for "not counted", and the vocabularies.
 ROW_COLUMNS = [
     "projectref",
-    "nlnetpage",
+    "projectpage",
     "repourl",
     "duplicate_flag",
     "null_value_flag",
@@ -25,12 +25,12 @@ ROW_COLUMNS = [
     "last_commit_hash",
     "explanation",
 ]
-PROJECT_BASE = "https://nlnet.nl/project/"
 OBSERVATION_VOCABULARY = "http://example.org/myvocab/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD_STRING = "http://www.w3.org/2001/XMLSchema#string"
 XSD_INTEGER = "http://www.w3.org/2001/XMLSchema#integer"
 MISSING_REFERENCE = "nan"
+NOT_COUNTED = {"testfilecountlocal": -1}
 # End of fixed values.
 
 # Flags and the count never look like a URI.
@@ -39,6 +39,15 @@ _TEXT_COLUMNS = [c for c in ROW_COLUMNS if not c.endswith(("_flag", "_scheme", "
 BAD_URI = r'[<>" {}|\\^`]'
 
 
+def _stated(column: str) -> Column:
+    """Whether a column makes a statement: missing values do not, nor does the number that
+    stands for "not counted". A text "-1" is a text like any other."""
+    value = F.col(column)
+    if column in NOT_COUNTED:
+        return value.isNotNull() & (value != NOT_COUNTED[column])
+    return value.isNotNull()
+
+
 def _statement(
     subject: Column, predicate: Column, value: Column, kind: Column, datatype: Column
 ) -> Column:
@@ -71,14 +80,14 @@ def _subject(base: str) -> Column:
 
 
 def _row_statements(base: str) -> list[Column]:
-    """The statement of each column; null for -1, missing values and rejected rows."""
+    """The statement of each column; null if there is none and in rejected rows."""
     subject = _subject(base)
 
     def statement(column: str) -> Column:
         value = F.col(column).cast("string")
         linked = value.startswith("http") if column in _TEXT_COLUMNS else F.lit(False)
         return F.when(
-            F.col("accepted") & (value != "-1"),
+            F.col("accepted") & _stated(column),
             _statement(
                 subject,
                 F.lit(base + column),
@@ -96,7 +105,7 @@ def _with_accepted(df: DataFrame) -> DataFrame:
     return df.select("row_id", *ROW_COLUMNS, _accepted().alias("accepted"))
 
 
-def row_triples(df: DataFrame, base: str = PROJECT_BASE) -> DataFrame:
+def row_triples(df: DataFrame, base: str) -> DataFrame:
     """``(row_id, s, p, o, o_kind, o_datatype)``; rows with a bad URI are skipped.
 
     Skipping happens after the array is taken apart. A condition on the row
@@ -170,7 +179,7 @@ def ntriples(triples: DataFrame) -> DataFrame:
     return triples.select(_line(F.col("s"), F.col("p"), node).alias("value"))
 
 
-def row_documents(df: DataFrame, base: str = PROJECT_BASE) -> DataFrame:
+def row_documents(df: DataFrame, base: str) -> DataFrame:
     """One document per row, its statements on one line each, then an empty line.
 
     The document is built inside the row, so no grouping is needed.
@@ -183,7 +192,7 @@ def row_documents(df: DataFrame, base: str = PROJECT_BASE) -> DataFrame:
             node = F.when(value.startswith("http"), _uri_node(value)).otherwise(node)
         else:
             node = F.concat(F.lit('"'), value, F.lit('"'))
-        return F.when(value != "-1", _line(F.col("subject"), F.lit(base + column), node))
+        return F.when(_stated(column), _line(F.col("subject"), F.lit(base + column), node))
 
     rows = _with_accepted(df).withColumn("subject", _subject(base))
     text = F.concat(F.concat_ws("\n", *map(line, ROW_COLUMNS)), F.lit("\n"))

@@ -12,6 +12,10 @@ from forgeatlas.sources.tables import append_languages, processed_paths, read_ta
 from forgeatlas.sources.tree import list_tree, read_contents
 
 
+# The language table has no sizes; this much per file decides the number of tasks.
+UNKNOWN_SIZE = 64 << 10
+
+
 def run_labelling(spark: SparkSession, root: str, table: str, *, model=None,
                   hostname: str | None = None) -> None:
     """Files that are not in the table yet are read, labelled and appended."""
@@ -29,7 +33,7 @@ def _located(labels: DataFrame) -> DataFrame:
         F.col("hosting_provider").alias("host"),
         F.col("repo_name").alias("repo"),
         F.substring("file_path", skip, F.length("file_path")).alias("rel_path"),
-        F.lit(0).cast("long").alias("size"),
+        F.lit(UNKNOWN_SIZE).cast("long").alias("size"),
     )
 
 

@@ -355,12 +355,12 @@ def _explained(spark, sf_dir):
 
 @query
 def row_triples(spark, sf_dir):
-    return rdf.row_triples(_explained(spark, sf_dir))
+    return rdf.row_triples(_explained(spark, sf_dir), inputs.PROJECT_BASE)
 
 
 @query
 def triple_count(spark, sf_dir):
-    return rdf.statement_count(rdf.row_triples(_explained(spark, sf_dir)))
+    return rdf.statement_count(rdf.row_triples(_explained(spark, sf_dir), inputs.PROJECT_BASE))
 
 
 def _observations(spark, sf_dir):
@@ -382,7 +382,7 @@ def observation_graph(spark, sf_dir):
 def ntriples_scan(spark, sf_dir):
     """Documents of all rows written as text, scanned again as a set of statements."""
     folder = scratch_path(spark, "rdf")
-    reports.write_documents(_explained(spark, sf_dir), folder)
+    reports.write_documents(_explained(spark, sf_dir), folder, inputs.PROJECT_BASE)
     return rdf.as_graph(ntriples.read_ntriples(spark, folder))
 
 

@@ -10,6 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Subjects of the row statements.
+PROJECT_BASE = "https://registry.example.org/project/"
+
 REGISTRY = """
 with base as (
   select page_id * 2 as row_id, page_id, case page_id % 11
@@ -30,7 +33,7 @@ allrows as (
   select row_id + 1, page_id, repourl, false from base where page_id % 7 = 0)
 select row_id,
   case when is_header then concat('P', cast(page_id as string)) end as projectref,
-  case when is_header then concat('https://registry.example.org/project/P', cast(page_id as string)) end as nlnetpage,
+  case when is_header then concat('https://registry.example.org/project/P', cast(page_id as string)) end as projectpage,
   repourl
 from allrows
 """

@@ -35,17 +35,17 @@ with registry as ({_REGISTRY}),
 filled as (
   select row_id,
     last_value(projectref ignore nulls) over w as projectref,
-    last_value(nlnetpage ignore nulls) over w as nlnetpage, repourl
+    last_value(projectpage ignore nulls) over w as projectpage, repourl
   from registry window w as (order by row_id rows between unbounded preceding and current row)),
 trimmed as (
-  select row_id, projectref, nlnetpage,
+  select row_id, projectref, projectpage,
     regexp_replace(regexp_replace(regexp_replace(repourl, '^\\++', ''), '/+$', ''), '^\\s+|\\s+$', '', 'g') as repourl
   from filled),
 flagged as (
-  select *, row_number() over (partition by projectref, nlnetpage, repourl order by row_id) > 1 as duplicate_flag
+  select *, row_number() over (partition by projectref, projectpage, repourl order by row_id) > 1 as duplicate_flag
   from trimmed),
 nulls as (
-  select *, not duplicate_flag and (projectref is null or nlnetpage is null or repourl is null) as null_value_flag
+  select *, not duplicate_flag and (projectref is null or projectpage is null or repourl is null) as null_value_flag
   from flagged),
 upgraded as (select * replace (regexp_replace(repourl, '^http\\b', 'https') as repourl) from nulls),
 hosted as (
@@ -67,7 +67,7 @@ based as (
     end as u_base
   from cut),
 clean as (
-  select row_id, projectref, nlnetpage, repourl, duplicate_flag, null_value_flag, repodomain,
+  select row_id, projectref, projectpage, repourl, duplicate_flag, null_value_flag, repodomain,
     unsupported_url_scheme, incomplete_url_flag,
     u_scheme || '://' || u_netloc || '/' || u_base as base_repo_url,
     case when not (duplicate_flag or unsupported_url_scheme or incomplete_url_flag) then u_base is null end as base_repo_url_flag
@@ -200,11 +200,11 @@ select host, repo, {_COUNTERS} from hosts_hits group by host, repo
 """.replace("hosts_hits", "hits")
 
 _ROW_TRIPLES = " union all ".join(
-    f"""select row_id, '{rdf.PROJECT_BASE}' || coalesce(projectref, '{rdf.MISSING_REFERENCE}') as s,
-    '{rdf.PROJECT_BASE}{c}' as p, cast({c} as varchar) as o,
+    f"""select row_id, '{inputs.PROJECT_BASE}' || coalesce(projectref, '{rdf.MISSING_REFERENCE}') as s,
+    '{inputs.PROJECT_BASE}{c}' as p, cast({c} as varchar) as o,
     case when starts_with(cast({c} as varchar), 'http') then 'uri' else 'literal' end as o_kind,
     case when not starts_with(cast({c} as varchar), 'http') then '{rdf.XSD_STRING}' end as o_datatype
-  from explained where {c} is not null and cast({c} as varchar) <> '-1'"""
+  from explained where {c} is not null{f" and {c} <> {rdf.NOT_COUNTED[c]}" if c in rdf.NOT_COUNTED else ""}"""
     for c in rdf.ROW_COLUMNS
 )
 _OBS = "https://github.com/example/project/"
@@ -284,7 +284,7 @@ def build() -> dict[str, str]:
       count(*) filter (where unsupported_url_scheme and not duplicate_flag) as unsupported,
       count(*) filter (where incomplete_url_flag) as incomplete,
       count(*) filter (where base_repo_url_flag) as base_url_failures from clean"""
-    profiled = [("row_id", "bigint"), ("projectref", "string"), ("nlnetpage", "string"), ("repourl", "string")]
+    profiled = [("row_id", "bigint"), ("projectref", "string"), ("projectpage", "string"), ("repourl", "string")]
     sql["table_profile"] = f"with registry as ({_REGISTRY}) " + " union all ".join(
         f"select '{c}' as column_name, '{t}' as column_type, count(*) as row_count, count({c}) as non_null from registry"
         for c, t in profiled
@@ -412,7 +412,7 @@ def build() -> dict[str, str]:
     sql["tsv_scan"] = f"""with registry as ({_REGISTRY}),
       filled as (select row_number() over (order by row_id) - 1 as row_id,
         last_value(projectref ignore nulls) over w as projectref,
-        last_value(nlnetpage ignore nulls) over w as nlnetpage, coalesce(repourl, 'n/a') as repourl
+        last_value(projectpage ignore nulls) over w as projectpage, coalesce(repourl, 'n/a') as repourl
       from registry window w as (order by row_id rows between unbounded preceding and current row))
       select * from filled"""
     sql["tsv_rectangular"] = sql["tsv_scan"].replace("coalesce(repourl, 'n/a') as repourl", "repourl")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Column names of the registry tables.
-REGISTRY_COLUMNS = ["projectref", "nlnetpage", "repourl"]
+REGISTRY_COLUMNS = ["projectref", "projectpage", "repourl"]
 # End of fixed values.
 
 

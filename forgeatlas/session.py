@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,20 @@ def build_session(app: str = "forgeatlas", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**SESSION_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, whose Python workers import it."""
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="forgeatlas-")) / "forgeatlas.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for file in sorted(home.rglob("*.py")):
+            target.write(file, Path(home.name) / file.relative_to(home))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession) -> str:

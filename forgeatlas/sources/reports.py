@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgeatlas.operators.hosts import MIN_ROWS, report_lines, with_bucket
-from forgeatlas.operators.rdf import PROJECT_BASE, row_documents
+from forgeatlas.operators.rdf import row_documents
 
 ROWS_PER_FILE = 1_000_000
 
@@ -53,6 +53,6 @@ def write_errors(failures: DataFrame, path: str) -> None:
     failures.select(block.alias("value")).write.mode("append").text(path)
 
 
-def write_documents(df: DataFrame, path: str, base: str = PROJECT_BASE) -> None:
+def write_documents(df: DataFrame, path: str, base: str) -> None:
     """The RDF documents of all rows."""
     row_documents(df, base).select("value").write.mode("overwrite").text(path)

@@ -8,6 +8,7 @@ executor mounts.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,13 +25,40 @@ _BYTES_PER_BATCH = 32 << 20
 _WALKED = "kind string, host string, repo string, rel_path string, size long"
 
 
+def local_root(root: str) -> str:
+    """Folder of a tree as the executors mount it; other file systems are refused, because
+    every executor would read or write a folder of its own."""
+    root = re.sub(r"^file:(//)?(?=/)", "", root)
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", root):
+        raise ValueError(f"not a mounted folder: {root}")
+    return root
+
+
+def _shown(name: str) -> str:
+    """Name as text; bytes that are no UTF-8 are written as escapes."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
+
+
+def _raw(path: str) -> str:
+    """Name of the file behind a shown path."""
+    if os.path.lexists(path) or "\\x" not in path:
+        return path
+    raw = re.sub(rb"\\x([0-9a-f]{2})", lambda m: bytes([int(m[1], 16)]), os.fsencode(path))
+    return os.fsdecode(raw)
+
+
 def _walk_item(root: str, host: str, repo: str, rel: str, budget: int, skip_vcs: bool):
-    """Yield ``(kind, host, repo, rel_path, size)``: files, and folders left to read."""
+    """Yield ``(kind, host, repo, rel_path, size)``: files, folders left to read, and folders
+    that cannot be read (kind ``error``)."""
     if not host or not repo:
         # Hosts and repositories always become work items of their own.
-        for entry in os.scandir(os.path.join(root, host)):
-            if entry.is_dir():
-                yield ("dir", host or entry.name, entry.name if host else "", "", 0)
+        try:
+            for entry in os.scandir(_raw(os.path.join(root, host))):
+                if entry.is_dir():
+                    name = _shown(entry.name)
+                    yield ("dir", host or name, name if host else "", "", 0)
+        except OSError:
+            yield ("error", host, repo, "", 0)
         return
     base = os.path.join(root, host, repo)
     folders, seen = [rel], 0
@@ -39,15 +67,19 @@ def _walk_item(root: str, host: str, repo: str, rel: str, budget: int, skip_vcs:
             yield from (("dir", host, repo, folder, 0) for folder in folders)
             return
         folder = folders.pop()
-        with os.scandir(os.path.join(base, folder)) as entries:
-            for entry in entries:
-                seen += 1
-                inner = f"{folder}/{entry.name}" if folder else entry.name
-                if entry.is_dir(follow_symlinks=False):
-                    if not (skip_vcs and entry.name == ".git"):
-                        folders.append(inner)
-                elif entry.is_file():
-                    yield ("file", host, repo, inner, entry.stat().st_size)
+        try:
+            with os.scandir(_raw(os.path.join(base, folder))) as entries:
+                for entry in entries:
+                    seen += 1
+                    name = _shown(entry.name)
+                    inner = f"{folder}/{name}" if folder else name
+                    if entry.is_dir(follow_symlinks=False):
+                        if not (skip_vcs and name == ".git"):
+                            folders.append(inner)
+                    elif entry.is_file():
+                        yield ("file", host, repo, inner, entry.stat().st_size)
+        except OSError:
+            yield ("error", host, repo, folder, 0)
 
 
 def _walker(root: str, budget: int, skip_vcs: bool):
@@ -73,8 +105,11 @@ def list_tree(
     *,
     budget: int = ENTRY_BUDGET,
     skip_vcs: bool = False,
+    kind: str = "file",
 ) -> DataFrame:
-    """One row per regular file, without its content.
+    """One row per regular file, without its content; with ``kind="error"`` one row per
+    folder that could not be read. The scan goes on beside such a folder. Bytes of a name
+    that are no UTF-8 are shown as escapes.
 
     The walk runs on the executors in rounds. A round reads every open folder
     and, below it, up to ``budget`` entries; folders it did not get to are the
@@ -82,7 +117,7 @@ def list_tree(
     Each round is stored in the shared folder, so a lost executor repeats one
     round at most.
     """
-    walk = _walker(root, budget, skip_vcs)
+    walk = _walker(local_root(root), budget, skip_vcs)
     open_dirs = spark.createDataFrame([("", "", "")], "host string, repo string, rel_path string")
     folder, rounds, tasks = scratch_path(spark, "tree"), [], 1
     while True:
@@ -96,7 +131,7 @@ def list_tree(
             break
         open_dirs = stored.select("host", "repo", "rel_path")
         tasks = min(waiting, 4 * parallelism(spark))
-    listed = spark.read.parquet(*rounds).filter(F.col("kind") == "file")
+    listed = spark.read.parquet(*rounds).filter(F.col("kind") == kind)
     return with_path_parts(listed).select(
         "host", "repo", "rel_path", "dir", "name", "suffix", "size"
     )
@@ -109,7 +144,7 @@ def _reader(root: str):
             for host, repo, rel in zip(batch["host"], batch["repo"], batch["rel_path"]):
                 text = error = None
                 try:
-                    with open(os.path.join(root, host, repo, rel), "rb") as file:
+                    with open(_raw(os.path.join(root, host, repo, rel)), "rb") as file:
                         data = file.read()
                     held += len(data)
                     text = data.decode("utf-8")
@@ -138,7 +173,7 @@ def read_contents(files: DataFrame, root: str, bytes_per_task: int = 512 << 20)
     tasks = max(parallelism(spark), -(-total // bytes_per_task))
     paths = files.select("host", "repo", "rel_path").repartition(tasks, "host", "repo", "rel_path")
     read = paths.mapInPandas(
-        _reader(root),
+        _reader(local_root(root)),
         "host string, repo string, rel_path string, content string, read_error string",
     )
     # Columns of the listing are rebuilt from the path instead of joined back.
@@ -149,6 +184,7 @@ def read_contents(files: DataFrame, root: str, bytes_per_task: int = 512 << 20)
 
 def write_tree(files: DataFrame, root: str) -> int:
     """Write ``(host, repo, rel_path, content)`` as a tree; returns the number of files."""
+    root = local_root(root)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

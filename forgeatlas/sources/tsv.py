@@ -10,6 +10,8 @@ from forgeatlas.operators.order import fill_forward
 from forgeatlas.schemas import REGISTRY_COLUMNS
 
 _KEYS = REGISTRY_COLUMNS[:2]
+# A quoted field of a table; separators inside it do not count.
+_QUOTED = r'(?<=^|\t)"(?:[^"\\]|\\.)*"(?=\t|$)'
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +44,10 @@ def raw_rows(spark: SparkSession, path: str) -> DataFrame:
     return _place(scan_lines(spark, path)).select("_file", "_start", "_at", *REGISTRY_COLUMNS)
 
 
-def _fill(rows: DataFrame, continuous: bool) -> DataFrame:
+def _fill(rows: DataFrame, continuous: bool, units: list[list[str]]) -> DataFrame:
     return fill_forward(
         rows,
-        _KEYS,
+        units,
         group=["_file"],
         block="_start",
         order="_at",
@@ -61,7 +63,7 @@ def read_registry(spark: SparkSession, path: str, *, continuous: bool = False) -
     goes on from one file to the next in path order; each file is filled on its
     own, unless ``continuous`` says that they are the parts of one table.
     """
-    return _fill(raw_rows(spark, path), continuous)
+    return _fill(raw_rows(spark, path), continuous, [_KEYS])
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +79,7 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_rectangular(
     spark: SparkSession, path: str, columns: int = 3, *, continuous: bool = False
 ) -> DataFrame:
-    """A2: a table of 1 or 3 columns without header; the first two are filled.
+    """A2: a table of 1 or 3 columns without header; the first two are filled, each on its own.
 
     Short rows end in nulls, blank lines are skipped, a row with more fields is
     an error. The CSV reader is not used because it also drops rows of tabs only.
@@ -85,7 +87,7 @@ def read_rectangular(
     if columns not in (1, 3):
         raise ValueError("Unexpected number of columns in the file.")
     names = REGISTRY_COLUMNS if columns == 3 else REGISTRY_COLUMNS[2:]
-    schema = ", ".join(f"{c} string" for c in [*names, "_extra"])
+    schema = ", ".join(f"{c} string" for c in names)
     parsed = (
         spark.read.text(path)
         .filter(F.col("value") != "")
@@ -94,12 +96,15 @@ def read_rectangular(
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_at"),
             F.from_csv("value", schema, {"sep": "\t"}).alias("_row"),
+            F.size(F.split(F.regexp_replace("value", _QUOTED, ""), "\t")).alias("_width"),
         )
     )
     message = F.lit("Unexpected number of columns in the file.")
-    url = F.when(F.col("_row._extra").isNotNull(), F.raise_error(message)).otherwise(
+    url = F.when(F.col("_width") > columns, F.raise_error(message)).otherwise(
         F.col("_row")[REGISTRY_COLUMNS[2]]
     )
     missing = F.lit(None).cast("string")
     keys = {c: F.col("_row")[c] if columns == 3 else missing for c in _KEYS}
-    return _fill(parsed.withColumns({**keys, REGISTRY_COLUMNS[2]: url}), continuous)
+    return _fill(
+        parsed.withColumns({**keys, REGISTRY_COLUMNS[2]: url}), continuous, [[k] for k in _KEYS]
+    )

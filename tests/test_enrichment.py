@@ -17,13 +17,13 @@ FLAGS = (
 @pytest.mark.parametrize(
     "row, expected",
     [
-        ((False, True, False, True, False, "http://example.com", -1, "failed", None),
-         "Row contains null values."),
-        ((True, False, True, False, True, "http://incomplete", 0, None, "abc123"),
+        ((True, True, True, True, True, None, -1, "failed", None),
          "Row is marked as a duplicate of another entry."),
-        ((False, False, False, False, False, "http://complete.com", 10, "successful", "def456"),
+        ((False, True, True, True, None, None, -1, "failed", None),
+         "Row contains null values."),
+        ((False, False, False, False, False, "https://code.test/team/tool", 3, "successful", "0a1b"),
          "No issues detected."),
-        ((False, False, False, False, None, "http://complete.com/oener/repo", -1, None, None),
+        ((False, False, False, False, None, "https://code.test/team/tool", -1, None, None),
          "Clone status unknown."),
         ((False, False, False, True, None, "https://github.com/o", -1, None, None),
          "URL is incomplete; missing 1 parts (expects protocol, domain, and path)."),
@@ -102,12 +102,12 @@ def test_count_buckets(rows):
 
 
 @pytest.mark.parametrize(
-    "bound, limit, hot_keys",
+    "bound, limit, parts",
     [("BROADCAST_ROWS", 0, 1), ("BROADCAST_BYTES", 1, 1000), ("BROADCAST_ROWS", 4, 1)],
 )
-def test_lookup_matches_a_plain_join(rows, monkeypatch, bound, limit, hot_keys):
+def test_lookup_matches_a_plain_join(rows, monkeypatch, bound, limit, parts):
     """Hot, missing and unmatched keys, answered from either side of the split."""
-    monkeypatch.setattr(lookup_module, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(lookup_module, "HOT_PARTS", parts)
     monkeypatch.setattr(lookup_module, bound, limit)
     keys = ["hot"] * 300 + ["warm"] * 50 + [f"k{i}" for i in range(40)] + [None] * 100
     left = rows([(i, k) for i, k in enumerate(keys)], "row_id long, key string")
@@ -119,6 +119,14 @@ def test_lookup_matches_a_plain_join(rows, monkeypatch, bound, limit, hot_keys):
     ]
 
 
+def test_every_hot_key_is_found(spark, monkeypatch):
+    monkeypatch.setattr(lookup_module, "HOT_PARTS", 3000)
+    counts = spark.range(5000).selectExpr("id AS key", "100 + id % 3 AS n")
+    assert lookup_module.frequent_keys(counts, "key").count() == 5000
+    monkeypatch.setattr(lookup_module, "HOT_PARTS", 4)
+    assert lookup_module.frequent_keys(counts, "key").count() == 0
+
+
 def test_lookup_plan_depends_on_the_checked_size(rows, monkeypatch):
     left = rows([(0, "a")], "row_id long, key string")
     right = rows([("a", 1)], "key string, v long")
@@ -203,3 +211,21 @@ def test_enrichment_pipeline(spark, tmp_path):
         "No issues detected.", "No issues detected.", "Clone status unknown.",
         "Row is marked as a duplicate of another entry.",
     ]
+
+
+def test_odd_names_and_unreadable_folders(spark, tmp_path):
+    import os
+
+    home = tmp_path / "host" / "repo"
+    home.mkdir(parents=True)
+    with open(os.path.join(os.fsencode(home), b"caf\xe9.py"), "wb") as file:
+        file.write(b"x = 1")
+    files_ = tree.list_tree(spark, str(tmp_path))
+    assert [(r.rel_path, r.size) for r in files_.collect()] == [("caf\\xe9.py", 5)]
+    assert [r.content for r in tree.read_contents(files_, str(tmp_path)).collect()] == ["x = 1"]
+    walked = list(tree._walk_item(str(tmp_path), "host", "gone", "", 10, False))
+    assert walked == [("error", "host", "gone", "", 0)]
+    assert tree.list_tree(spark, str(tmp_path), kind="error").count() == 0
+    with pytest.raises(ValueError):
+        tree.list_tree(spark, "hdfs://shared/trees")
+    assert tree.local_root("file:///a/b") == tree.local_root("file:/a/b") == "/a/b"

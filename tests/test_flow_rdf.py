@@ -5,6 +5,8 @@ from forgeatlas.operators import rdf
 from forgeatlas.plans import flow
 from forgeatlas.sources import ntriples
 
+BASE = "https://projects.test/p/"
+
 
 def _enriched(spark):
     data, row = [], 0
@@ -69,19 +71,26 @@ def _row(spark, **changes):
 
 
 def test_row_triples(spark):
-    got = {r.p.rsplit("/", 1)[1]: r for r in rdf.row_triples(_row(spark)).collect()}
+    got = {r.p.rsplit("/", 1)[1]: r for r in rdf.row_triples(_row(spark), BASE).collect()}
     assert set(got) == {"projectref", "repourl", "duplicate_flag", "explanation", "repodomain"}
     assert got["repourl"].o_kind == "uri" and got["repourl"].o_datatype is None
     # The test is on the text, so a host that starts with "http" is linked too.
     assert got["repodomain"].o_kind == "uri"
     assert got["duplicate_flag"].o == "false" and got["duplicate_flag"].o_datatype == rdf.XSD_STRING
-    assert got["projectref"].s.endswith("/project/P1")
+    assert got["projectref"].s == BASE + "P1"
+
+
+def test_only_the_number_stands_for_not_counted(spark):
+    row = _row(spark, explanation="-1", repourl="-1", testfilecountlocal=-1)
+    got = {r.p.removeprefix(BASE): r.o for r in rdf.row_triples(row, BASE).collect()}
+    assert got["explanation"] == got["repourl"] == "-1" and "testfilecountlocal" not in got
+    assert rdf.row_documents(row, BASE).first().value.count('"-1"') == 2
 
 
 def test_rows_with_bad_uri_are_rejected(spark):
     bad = _row(spark, repourl="https://x/a b/c")
-    assert rdf.row_triples(bad).count() == 0
-    assert rdf.row_documents(bad).count() == 0
+    assert rdf.row_triples(bad, BASE).count() == 0
+    assert rdf.row_documents(bad, BASE).count() == 0
     assert [r.row_id for r in rdf.rejected_rows(bad).collect()] == [0]
     text = _row(spark, repourl="ftp://x/a b/c")
     assert rdf.rejected_rows(text).count() == 0
@@ -89,19 +98,19 @@ def test_rows_with_bad_uri_are_rejected(spark):
 
 def test_missing_rdf_column(spark):
     with pytest.raises(ValueError, match="missing required columns"):
-        rdf.row_triples(spark.createDataFrame([(1,)], "row_id long"))
+        rdf.row_triples(spark.createDataFrame([(1,)], "row_id long"), BASE)
 
 
 def test_documents_read_back_as_the_same_statements(spark, tmp_path):
     df = _row(spark).unionByName(_row(spark, projectref=None, last_commit_hash="tab\there"))
     path = str(tmp_path / "rdf")
-    rdf.row_documents(df).select("value").write.text(path)
+    rdf.row_documents(df, BASE).select("value").write.text(path)
     columns = ["s", "p", "o", "o_kind", "o_datatype"]
-    expected = rdf.row_triples(df).select(columns).collect()
+    expected = rdf.row_triples(df, BASE).select(columns).collect()
     got = ntriples.read_ntriples(spark, path).select(columns).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, expected), key=str)
     assert ntriples.malformed_lines(spark, path).count() == 0
-    lines = rdf.ntriples(rdf.row_triples(df))
+    lines = rdf.ntriples(rdf.row_triples(df, BASE))
     assert {r.value for r in lines.collect()} <= {r.value for r in spark.read.text(path).collect()}
 
 
@@ -125,11 +134,16 @@ def test_ntriples_escapes(spark, tmp_path):
     path.write_text(
         '# comment\n\n<http://a> <http://b> "caf\\u00e9 \\"q\\" \\\\n"@fr .\n'
         '_:x <http://b> <http://c> . # end\n<http://a> <http://b> "1"^^<http://t> .\nbroken line\n'
+        '<http://a> <http://b> "\\U0001F600 \\\\U0001F600 \\U00000041" .\n'
     )
-    got = ntriples.read_ntriples(spark, str(path)).collect()
-    assert [(r.s, r.o, r.o_kind, r.o_datatype) for r in got] == [
-        ("http://a", 'caf\u00e9 "q" \\n', "literal", rdf.XSD_STRING),
-        ("_:x", "http://c", "uri", None),
-        ("http://a", "1", "literal", "http://t"),
+    got = ntriples.read_ntriples(spark, str(path), skip_malformed=True).collect()
+    tagged = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
+    assert [(r.s, r.o, r.o_kind, r.o_datatype, r.o_lang) for r in got] == [
+        ("http://a", 'caf\u00e9 "q" \\n', "literal", tagged, "fr"),
+        ("_:x", "http://c", "uri", None, None),
+        ("http://a", "1", "literal", "http://t", None),
+        ("http://a", "\U0001f600 \\U0001F600 A", "literal", rdf.XSD_STRING, None),
     ]
+    with pytest.raises(Exception, match="not a statement: broken line"):
+        ntriples.read_ntriples(spark, str(path)).collect()
     assert ntriples.malformed_lines(spark, str(path)).count() == 1
