@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from forgeatlas.llm import idcoder
 from forgeatlas.llm.bpe import KEPT_WORDS, WORD, byte_letters, chunks, pieces
-from forgeatlas.llm.common import pick, table
+from forgeatlas.llm.common import pick, store, table
 from forgeatlas.llm.op1_bpe import tokenizer_path
 from forgeatlas.session import scratch_path
 
@@ -200,7 +200,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     offsets = sizes.join(of_file, "file_no").select(
         "file_no", "seg_no", (F.col("file_start") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("offset")
     )
-    return read.join(offsets, ["file_no", "seg_no"]).select(
+    # Stored, so that Spark knows the size and does not shuffle the ids for some small rows.
+    return read.join(store(offsets, "offsets"), ["file_no", "seg_no"]).select(
         "doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids"
     )
 
