@@ -29,7 +29,7 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 NO_RANK = 1 << 60
 SHORT_WORD = 256
 CHUNK_CHARS = 1 << 20
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
