@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from forgeatlas.functions import text, urls
 from forgeatlas.operators import enrich, files, hosts, languages, metrics, rdf, registry, runners
 from forgeatlas.operators.order import fill_by_row_id, number_rows
-from forgeatlas.plans import analysis, flow, inputs, oracles
+from forgeatlas.plans import analysis, enrichment, flow, inputs, oracles
 from forgeatlas.plans.cleaning import clean_rows, repositories_per_host
 from forgeatlas.plans.inputs import derive
 from forgeatlas.schemas import REGISTRY_CLEAN, REGISTRY_COLUMNS
@@ -306,6 +306,23 @@ def writeback(spark, sf_dir):
     )
 
 
+@query
+def enrich_failures(spark, sf_dir):
+    full = enrichment.enrich_registry(
+        _clean(spark, sf_dir), derive(spark, sf_dir, inputs.TREE_REPOS),
+        failures=derive(spark, sf_dir, inputs.FAILED_REPOS),
+    )
+    return full.select("row_id", "repo_key", "testfilecountlocal", "clone_status")
+
+
+@query
+def failure_log(spark, sf_dir):
+    log = enrichment.failure_log(
+        _clean(spark, sf_dir), derive(spark, sf_dir, inputs.FAILED_REPOS)
+    )
+    return log.select("row_id", "repo_key", "error_message")
+
+
 @query
 def explanations(spark, sf_dir):
     return enrich.add_explanations(_enriched(spark, sf_dir)).select("row_id", "explanation")

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from forgeatlas.operators.enrich import (
     add_explanations,
+    completed_keys,
     init_result_columns,
+    processable,
     with_repo_key,
     write_back,
 )
 from forgeatlas.operators.files import is_test_file
-from forgeatlas.operators.runners import config_names, evidence_counters
+from forgeatlas.operators.lookup import lookup
+from forgeatlas.operators.runners import config_names, evidence_counters, rule_columns
+from forgeatlas.sources.tables import read_table
 from forgeatlas.sources.tree import list_tree, read_contents
 
 
@@ -25,21 +29,58 @@ def repo_results(files: DataFrame, excluded=None, rules=None) -> DataFrame:
 
 
 def enrich_registry(clean: DataFrame, results: DataFrame, commits: DataFrame | None = None,
-                    rules=None) -> DataFrame:
-    """Results of a key on all its rows. A key with a tree counts as cloned;
+                    rules=None, failures: DataFrame | None = None) -> DataFrame:
+    """Results of a key on all its rows. A key with a tree counts as cloned, one
+    without a tree that ``failures`` (``repo_key, error_message``) names as failed;
     ``commits`` is an optional ``(repo_key, last_commit_hash)`` table."""
     found = results.withColumn("clone_status", F.lit("successful"))
     if commits is not None:
         found = found.join(commits, "repo_key", "left")
+    if failures is not None:
+        failed = failures.filter(F.col("repo_key").isNotNull()).select("repo_key").distinct()
+        failed = failed.join(results, "repo_key", "left_anti")
+        found = found.unionByName(
+            failed.withColumn("clone_status", F.lit("failed")), allowMissingColumns=True
+        )
     keyed = with_repo_key(init_result_columns(clean, rules))
     return add_explanations(write_back(keyed, found, rules))
 
 
-def run_enrichment(spark: SparkSession, clean: DataFrame, root: str, *, excluded=None,
-                   rules=None, commits: DataFrame | None = None) -> DataFrame:
-    """Scan the trees below ``root`` and enrich the registry. Only configuration files
-    are opened; all other files are judged by their names."""
-    listing = list_tree(spark, root)
+def failure_log(clean: DataFrame, failures: DataFrame) -> DataFrame:
+    """Error log: ``row_id, repourl, repo_key, error_message`` of every row whose repository
+    failed; of several messages for a key the greatest one."""
+    message = failures.groupBy("repo_key").agg(F.max("error_message").alias("error_message"))
+    message = message.withColumn("failed", F.lit(True))
+    keyed = with_repo_key(clean).select("row_id", "repourl", "repo_key")
+    return lookup(keyed, message, "repo_key", spread="row_id").filter("failed").drop("failed")
+
+
+def stored_results(spark: SparkSession, path: str, rules=None) -> DataFrame:
+    """Results of earlier runs: of every key those of its last run."""
+    counts = ["testfilecountlocal", *rule_columns(rules)]
+    fields = [*counts, "last_commit_hash"]
+    schema = ", ".join(
+        ["repo_key string", *(f"`{c}` long" for c in counts), "last_commit_hash string", "run long"]
+    )
+    rows = read_table(spark, path, schema)
+    last = rows.groupBy("repo_key").agg(
+        F.max_by(F.struct("run", *fields), "run").alias("last")
+    )
+    return last.select("repo_key", "last.*")
+
+
+def unfinished(clean: DataFrame, results: DataFrame) -> DataFrame:
+    """``host, repo`` of the processable repositories without a finished result."""
+    keys = with_repo_key(processable(clean)).filter(F.col("repo_key").isNotNull())
+    left = keys.select("repo_key").distinct().join(completed_keys(results), "repo_key", "left_anti")
+    parts = F.split("repo_key", "/", 2)
+    return left.select(parts[0].alias("host"), parts[1].alias("repo"))
+
+
+def _scan(spark: SparkSession, root: str, excluded, rules, only: DataFrame | None) -> DataFrame:
+    """Results of the trees below ``root``. Only configuration files are opened; all other
+    files are judged by their names."""
+    listing = list_tree(spark, root, only=only)
     named = F.col("name").isin(config_names(rules))
     texts = read_contents(listing.filter(named), root).select(
         "host", "repo", "dir", "name", "content"
@@ -47,6 +88,29 @@ def run_enrichment(spark: SparkSession, clean: DataFrame, root: str, *, excluded
     others = listing.filter(~named).select(
         "host", "repo", "dir", "name", F.lit(None).cast("string").alias("content")
     )
-    return enrich_registry(
-        clean, repo_results(texts.unionByName(others), excluded, rules), commits, rules
-    )
+    return repo_results(texts.unionByName(others), excluded, rules)
+
+
+def run_enrichment(spark: SparkSession, clean: DataFrame, root: str, *, excluded=None,
+                   rules=None, commits: DataFrame | None = None,
+                   failures: DataFrame | None = None, results: str | None = None) -> DataFrame:
+    """Scan the trees below ``root`` and enrich the registry.
+
+    With ``results``, the path of a table of results, a run opens only the repositories of
+    processable rows that have no finished result there (a count and a commit), appends what
+    it finds, and enriches with all that is stored. Without it every tree is read.
+    """
+    if results is None:
+        return enrich_registry(
+            clean, _scan(spark, root, excluded, rules, None), commits, rules, failures
+        )
+    before = stored_results(spark, results, rules)
+    run = 1 + (before.agg(F.max("run")).first()[0] or 0)
+    fresh = _scan(spark, root, excluded, rules, unfinished(clean, before))
+    if commits is None:
+        fresh = fresh.withColumn("last_commit_hash", F.lit(None).cast("string"))
+    else:
+        fresh = fresh.join(commits.select("repo_key", "last_commit_hash"), "repo_key", "left")
+    fresh.withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(results)
+    found = stored_results(spark, results, rules).drop("run")
+    return enrich_registry(clean, found, None, rules, failures)

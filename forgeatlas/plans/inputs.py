@@ -107,6 +107,14 @@ select case doc_id % 2 when 0 then concat('gitlab_com/', cast(doc_id as string))
 from @documents group by 1
 """
 
+# Repositories whose clone failed; some of them have a tree all the same.
+FAILED_REPOS = """
+select case doc_id % 2 when 0 then concat('github_com/repo', cast(doc_id % 5 as string))
+  else concat('gitlab_com/', cast(doc_id as string)) end as repo_key,
+  concat('exit ', cast(doc_id % 7 as string)) as error_message
+from @documents
+"""
+
 
 def for_oracle(text: str) -> str:
     return re.sub(r"@(\w+)", r"\1", text)

@@ -345,6 +345,17 @@ def build() -> dict[str, str]:
       select row_id, k.repo_key, coalesce(r.testfilecountlocal, -1) as testfilecountlocal,
         case when r.repo_key is not null then 'successful' end as clone_status
       from keyed k left join results r on k.repo_key = r.repo_key"""
+    failed = f"failed as (select repo_key, max(error_message) as error_message from ({inputs.for_oracle(inputs.FAILED_REPOS)}) group by 1)"
+    sql["enrich_failures"] = f"""{CLEAN}, keyed as (select *, {_KEY} as repo_key from clean),
+      results as ({_TREES}), {failed}
+      select row_id, k.repo_key, coalesce(r.testfilecountlocal, -1) as testfilecountlocal,
+        case when r.repo_key is not null then 'successful'
+             when f.repo_key is not null then 'failed' end as clone_status
+      from keyed k left join results r on k.repo_key = r.repo_key
+        left join failed f on k.repo_key = f.repo_key"""
+    sql["failure_log"] = f"""{CLEAN}, keyed as (select *, {_KEY} as repo_key from clean), {failed}
+      select row_id, k.repo_key, error_message
+      from keyed k join failed f on k.repo_key = f.repo_key"""
     sql["explanations"] = f"{ENRICHED} select row_id, explanation from explained"
 
     # Flow graph ----------------------------------------------------------

@@ -106,10 +106,12 @@ def list_tree(
     budget: int = ENTRY_BUDGET,
     skip_vcs: bool = False,
     kind: str = "file",
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """One row per regular file, without its content; with ``kind="error"`` one row per
     folder that could not be read. The scan goes on beside such a folder. Bytes of a name
-    that are no UTF-8 are shown as escapes.
+    that are no UTF-8 are shown as escapes. ``only`` (``host, repo``) names the repositories
+    to open; no other folder of a repository is read.
 
     The walk runs on the executors in rounds. A round reads every open folder
     and, below it, up to ``budget`` entries; folders it did not get to are the
@@ -120,12 +122,18 @@ def list_tree(
     walk = _walker(local_root(root), budget, skip_vcs)
     open_dirs = spark.createDataFrame([("", "", "")], "host string, repo string, rel_path string")
     folder, rounds, tasks = scratch_path(spark, "tree"), [], 1
+    if only is not None:
+        hosts = only.select("host", F.lit("").alias("repo"))
+        only.select("host", "repo").union(hosts).distinct().write.parquet(f"{folder}/only")
+        only = spark.read.parquet(f"{folder}/only")
     while True:
         target = f"{folder}/round={len(rounds)}"
         spread = open_dirs.repartition(tasks, "host", "repo", "rel_path")
         spread.mapInPandas(walk, _WALKED).write.parquet(target)
         rounds.append(target)
         stored = spark.read.parquet(target).filter(F.col("kind") == "dir")
+        if only is not None:
+            stored = stored.join(only, ["host", "repo"], "left_semi")
         waiting = stored.count()
         if not waiting:
             break

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from forgeatlas.functions import labels
 from forgeatlas.operators import enrich, files, lookup as lookup_module, runners
 from forgeatlas.operators.lookup import lookup
-from forgeatlas.plans.enrichment import run_enrichment
+from forgeatlas.plans import enrichment
+from forgeatlas.plans.enrichment import failure_log, run_enrichment
 from forgeatlas.sources import tree
 
 FLAGS = (
@@ -211,6 +212,54 @@ def test_enrichment_pipeline(spark, tmp_path):
         "No issues detected.", "No issues detected.", "Clone status unknown.",
         "Row is marked as a duplicate of another entry.",
     ]
+    failures = rows_of_failures(spark)
+    failed = run_enrichment(spark, clean, str(tmp_path), failures=failures).orderBy("row_id").collect()
+    assert [r.clone_status for r in failed] == ["successful", "successful", "failed", None]
+    assert failed[2].explanation == "Repository clone failed."
+    log = failure_log(clean, failures).orderBy("row_id").collect()
+    assert [(r.row_id, r.error_message) for r in log] == [(0, "late"), (1, "late"), (2, "gone")]
+
+
+def rows_of_failures(spark):
+    return spark.createDataFrame(
+        [("example_org/none", "gone"), ("example_org/none", "a"), ("github_com/app", "late"), (None, "x")],
+        "repo_key string, error_message string",
+    )
+
+
+def test_enrichment_resumes(spark, tmp_path, monkeypatch):
+    """A second run opens new and unfinished repositories only and keeps earlier results."""
+    root, stored = tmp_path / "trees", str(tmp_path / "results")
+    _make_tree(root)
+    clean = spark.createDataFrame(
+        [(0, "https://github.com/o/app", "github.com"), (1, "https://gitlab.com/o/lib", "gitlab.com"),
+         (2, "https://github.com/o/late", "github.com")],
+        "row_id long, repourl string, repodomain string",
+    )
+    opened = []
+
+    def watched(*args, **kwargs):
+        listing = tree.list_tree(*args, **kwargs)
+        opened.append({f"{r.host}/{r.repo}" for r in listing.collect()})
+        return listing
+
+    monkeypatch.setattr(enrichment, "list_tree", watched)
+
+    def run(*hashes):
+        commits = spark.createDataFrame(list(hashes), "repo_key string, last_commit_hash string")
+        out = run_enrichment(spark, clean, str(root), commits=commits, results=stored)
+        return [(r.testfilecountlocal, r.last_commit_hash) for r in out.orderBy("row_id").collect()]
+
+    app, lib = ("github_com/app", "abc"), ("gitlab_com/lib", "def")
+    assert run(app) == [(2, "abc"), (1, None), (-1, None)]
+    late = root / "github_com" / "late" / "test_z.py"
+    late.parent.mkdir(parents=True)
+    late.write_text("pass")
+    (root / "gitlab_com" / "lib" / "test_more.py").write_text("pass")
+    (root / "github_com" / "app" / "test_unseen.py").write_text("pass")
+    assert run(lib, ("github_com/late", "ghi")) == [(2, "abc"), (2, "def"), (1, "ghi")]
+    assert run() == [(2, "abc"), (2, "def"), (1, "ghi")]
+    assert opened == [{"github_com/app", "gitlab_com/lib"}, {"gitlab_com/lib", "github_com/late"}, set()]
 
 
 def test_odd_names_and_unreadable_folders(spark, tmp_path):
