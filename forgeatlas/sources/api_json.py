@@ -52,11 +52,17 @@ def latest_by_time(commits: DataFrame, repo: str, sha: str, order: list[str]) ->
 
 def language_edges(responses: DataFrame, repo: str = "repo", body: str = "body",
                    status: str = "status") -> DataFrame:
-    """``{language: size}`` of one response; another status than 200 is an error text."""
+    """``{language: size}`` of one response, the last size of a language that comes twice;
+    another status than 200 is an error text."""
     edges = F.from_json(body, LANGUAGES_BODY)["data"]["repository"]["languages"]["edges"]
-    languages = F.map_from_entries(
-        F.transform(edges, lambda e: F.struct(e["node"]["name"], e["size"]))
+    pairs = F.transform(edges, lambda e: F.struct(e["node"]["name"].alias("name"), e["size"]))
+    last = F.filter(
+        pairs,
+        lambda p, i: ~F.exists(
+            F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["name"].eqNullSafe(p["name"])
+        ),
     )
+    languages = F.map_from_entries(last)
     ok = F.col(status) == 200
     message = F.format_string("Query failed to run by returning code of %d. %s", status, body)
     return responses.select(

@@ -215,3 +215,16 @@ def test_tables(spark, tmp_path):
     tables.write_snapshot(df, str(tmp_path / "t"), "csv")
     assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "t"), df.schema).collect())) == [
         (1, 'a "q", b'), (2, None)]
+
+
+def test_repeated_language_keeps_the_last(rows):
+    def body(*pairs):
+        edges = ",".join('{"node":{"name":"%s"},"size":%d}' % p for p in pairs)
+        return '{"data":{"repository":{"languages":{"edges":[%s]}}}}' % edges
+
+    responses = rows(
+        [("a", 200, body(("C", 1), ("Go", 2), ("C", 3))), ("b", 200, body()), ("c", 200, "{}")],
+        "repo string, status int, body string",
+    )
+    out = {r.repo: r.languages for r in api_json.language_edges(responses).collect()}
+    assert out == {"a": {"C": 3, "Go": 2}, "b": {}, "c": None}
