@@ -11,6 +11,7 @@ from forgeatlas.functions import text, urls
 from forgeatlas.operators import enrich, files, hosts, languages, metrics, rdf, registry, runners
 from forgeatlas.operators.order import fill_by_row_id, number_rows
 from forgeatlas.plans import analysis, enrichment, flow, inputs, oracles
+from forgeatlas.plans.api_enrichment import run_api_enrichment
 from forgeatlas.plans.cleaning import clean_rows, repositories_per_host
 from forgeatlas.plans.inputs import derive
 from forgeatlas.schemas import REGISTRY_CLEAN, REGISTRY_COLUMNS
@@ -582,6 +583,15 @@ def commit_table_latest(spark, sf_dir):
     return api_json.latest_by_time(commits, "user_id", "sha", ["ts", "event_id"])
 
 
+@query
+def api_enrichment(spark, sf_dir):
+    full = run_api_enrichment(
+        _clean(spark, sf_dir),
+        derive(spark, sf_dir, inputs.REPO_SEARCHES), derive(spark, sf_dir, inputs.REPO_COMMITS),
+    )
+    return full.select("row_id", "repo", "testfilecount", "last_commit_hash", "complete")
+
+
 @query
 def api_languages(spark, sf_dir):
     edges = api_json.language_edges(derive(spark, sf_dir, inputs.LANGUAGE_RESPONSES))

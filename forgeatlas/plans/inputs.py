@@ -81,6 +81,19 @@ select event_id as repo,
 from @events
 """
 
+# Responses for the repositories of the registry, and for some that it does not have.
+REPO_SEARCHES = """
+select concat('owner', cast(event_id % 5 as string), '/repo', cast(event_id % 4 as string), '.git') as repo,
+  case when event_id % 5 = 1 and event_id % 3 = 0 then '{"message":"rate limit"}' else '{"items":[{"name":"a"},{"name":"b"}]}' end as body
+from @events
+"""
+
+REPO_COMMITS = """
+select concat('owner', cast(event_id % 5 as string), '/repo', cast(event_id % 3 as string), '.git') as repo,
+  case when event_id % 5 = 2 then '[]' else concat('[{"sha":"', md5(cast(event_id as string)), '","html_url":"u"}]') end as body
+from @events
+"""
+
 LANGUAGE_RESPONSES = """
 select event_id as repo,
   case when event_id % 50 = 0 then 502 else 200 end as status,

@@ -413,6 +413,15 @@ def build() -> dict[str, str]:
       case when event_id % 40 <> 0 then 'https://github.com/o/r/commit/' || event_id end as html_url from events"""
     sql["commit_table_latest"] = """select user_id as repo, md5(cast(event_id as varchar)) as sha from
       (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1"""
+    sql["api_enrichment"] = f"""with p as ({sql["processable"]}),
+      parts as (select row_id, string_split(repourl, '/') as s, list_position(string_split(repourl, '/'), 'github.com') as spot from p),
+      named as (select row_id, case when spot > 0 and len(s) >= spot + 2 then s[spot + 1] || '/' || s[spot + 2] end as repo from parts),
+      counts as (select repo, coalesce(sum(case when body like '%items%' then 2 end), 0) as n, count(*) filter (where body not like '%items%') as bad
+        from ({inputs.for_oracle(inputs.REPO_SEARCHES)}) group by 1),
+      commits as (select repo, max(substr(body, 10, 32)) as sha from ({inputs.for_oracle(inputs.REPO_COMMITS)}) where body <> '[]' group by 1)
+      select row_id, n.repo, coalesce(c.n, -1)::bigint as testfilecount, k.sha as last_commit_hash,
+        coalesce(c.bad = 0 and k.sha is not null, false) as complete
+      from named n left join counts c on n.repo = c.repo left join commits k on n.repo = k.repo"""
     sql["api_languages"] = """select event_id as repo,
       case when event_id % 50 <> 0 then event_type || '=' || user_id || ',C=1' end as languages,
       case when event_id % 50 = 0 then 'Query failed to run by returning code of 502. Bad Gateway' end as error from events"""
