@@ -36,7 +36,8 @@ ASSIGN_CHARS = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-STRING = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+# Tried only where a run begins: a run is searched for its digit once, however long it is.
+STRING = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 # Encodings in the order in which they are tried: name, pattern, symbols in order, text rate.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIXED = r"^(?=.*[A-Za-z])(?=.*[0-9])"
