@@ -22,7 +22,7 @@ from forgeatlas.llm.common import crc_bucket, pick, slices, table
 DIMENSIONS = 1024
 LETTERS = 64
 SEED = 7
-# Bound of the learned sample: so many documents per language are expected.
+# Bound of the learned sample: so many different texts per language are expected.
 SAMPLE_PER_LANGUAGE = 1500
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
@@ -85,21 +85,22 @@ def text_vectors(texts: Iterable[str | None], count: int) -> tuple[np.ndarray, n
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Prototypes (one unit vector per language) from rows ``text, lang``.
 
-    About ``SAMPLE_PER_LANGUAGE`` rows of each language are taken by a hash of the text;
-    smaller languages are taken whole. The vectors are bundled on the executors; a vector
-    per language and task comes to the driver."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    About ``SAMPLE_PER_LANGUAGE`` different texts of each language are taken by a hash of the
+    text; smaller languages are taken whole. Copies count once, so a text that fills a third
+    of a language neither shapes its prototype nor fills a task. The vectors are bundled on
+    the executors; a vector per language and task comes to the driver."""
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return [], np.zeros((0, DIMENSIONS), np.float32)
     steps = 1 << 20
     share = F.create_map(
-        *(F.lit(x) for c in counts for x in (c["lang"], min(steps, 1 + steps * SAMPLE_PER_LANGUAGE // c["count"])))
+        *(F.lit(x) for c in counts for x in (c["lang"], min(steps, 1 + steps * SAMPLE_PER_LANGUAGE // max(1, c["texts"]))))
     )
-    taken = F.pmod(F.xxhash64("text"), F.lit(steps)) < share[F.col("lang")]
-    sample = rows.filter(taken).repartition(16, F.xxhash64("text"))
+    taken = F.pmod(F.col("h"), F.lit(steps)) < share[F.col("lang")]
+    sample = rows.filter(taken).dropDuplicates(["h", "lang"]).repartition(16, "h")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
