@@ -133,7 +133,8 @@ def score(texts: Iterable[str | None], count: int, weights: np.ndarray) -> np.nd
 
 def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """Weights from documents (``doc_id, text``) and labels (``doc_id, quality``); None if a
-    class is missing. Several labels of a document: the smallest counts.
+    class is missing. Several labels of a document: the smallest counts. Several texts of a
+    key: the smallest is learned, so the sample stays bounded whatever rows repeat.
 
     At most ``SAMPLE_PER_CLASS`` documents per class are taken, by a hash of their key. Their
     bags of features are made on the executors; training is one pass over a bounded sample."""
@@ -146,7 +147,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
         part = labels.filter(F.col("quality") == value).orderBy("draw", "doc_id").limit(SAMPLE_PER_CLASS)
         chosen = part if chosen is None else chosen.unionByName(part)
     # 2 * SAMPLE_PER_CLASS rows of two numbers.
-    taken = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
+    taken = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.min(F.col("quality").cast("int")).alias("quality")
+    )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

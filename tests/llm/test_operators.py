@@ -115,6 +115,14 @@ def test_quality_held_out(spark):
         assert (r["score"] >= op2_quality.ACCEPT) == (r["doc_id"] % 3 != 0)
 
 
+def test_quality_of_a_key_that_repeats(spark, labels):
+    """However many rows have a labelled key, one of them is learned from."""
+    rows = [(4, f"{PROSE} {k}") for k in range(3000)] + [(8, "### !!! ###")]
+    once = [(4, min(t for k, t in rows if k == 4)), rows[-1]]
+    learned = [op2_quality.learn(spark.createDataFrame(r, SCHEMA), labels) for r in (rows, once)]
+    assert np.array_equal(*learned)
+
+
 def plain_spans(text):
     assign = re.compile(
         r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -146,6 +154,13 @@ def test_many_spans_and_random_strings(spark):
     assert clean[99].count("[SECRET]") == 700 and clean[100].startswith("version1")
 
 
+def test_one_unbroken_run_is_searched_once(spark):
+    text = "xY" * 400_000 + " " + HEXED
+    df = spark.createDataFrame([(1, text)], SCHEMA)
+    found = op3_secrets.find_secrets(df).first()["secrets"]
+    assert [tuple(s) for s in found if s["kind"] < 3] == [(800_001, 2, 800_065)]
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -314,6 +329,16 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in op9_language.identify(docs, labelled.limit(0)).collect()} == {"und"}
 
 
+def test_copies_of_a_text_are_learned_once(spark, monkeypatch):
+    monkeypatch.setattr(op9_language, "SAMPLE_PER_LANGUAGE", 50)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(PROSE.split(), k=20)) for _ in range(40)]
+    once = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    copied = once.unionByName(spark.createDataFrame([(texts[0], "en")] * 4000, once.schema))
+    (_, one), (_, many) = op9_language.learn(once), op9_language.learn(copied)
+    assert np.allclose(one, many, atol=1e-5)
+
+
 def plain_distance(item, text):
     row = list(range(len(item) + 1))
     best = len(item)
