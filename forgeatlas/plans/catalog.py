@@ -507,11 +507,12 @@ def language_map(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    """Ids are spread before the texts are made, so only ids are shuffled."""
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    name = "spread_ids"
+    """Files whose contents carry the texts of the documents. The texts of a large table stay
+    in the tasks that read them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    name = "spread_docs"
     definition = inputs.SOURCES.replace("@documents", "{" + name + "}")
-    return spark.sql(definition, **{name: _spread(ids, "doc_id")})
+    return spark.sql(definition, **{name: _spread(docs, "doc_id")})
 
 
 @query

@@ -59,12 +59,18 @@ ENRICHMENT = """
   cast(row_id % 4 as bigint) as JUnit_file_patterns, cast(row_id % 3 as bigint) as pytest_file_patterns, cast(0 as bigint) as Mocha_file_patterns
 """
 
+# The text of a document as comments, and one test function per line break in it.
 SOURCES = """
-select doc_id, concat('src/', cast(doc_id as string), '.py') as file_path,
-  case when doc_id % 13 = 0 then 'def broken(:'
-  else concat('class T:', chr(10), '    def setUp(self):', chr(10), '        pass', chr(10),
-     repeat(concat('    def test_x(self):', chr(10), '        if self:', chr(10), '            pass', chr(10), '        assert self', chr(10)), cast(doc_id % 4 as int))) end as content
-from @documents
+select doc_id, concat('src/', cast(doc_id as string), case when doc_id % 11 = 5 then '.txt' else '.py' end) as file_path,
+  concat('# ', replace(body, chr(10), concat(chr(10), '# ')), chr(10),
+    case when doc_id % 13 = 0 then 'def broken(:'
+    else concat('class T:', chr(10), '    def setUp(self):', chr(10), '        pass', chr(10),
+      repeat(concat('    async def fetch(self):', chr(10), '        for a in self:', chr(10), '            for b in a:', chr(10),
+        '                try:', chr(10), '                    pass', chr(10), '                except OSError:', chr(10),
+        '                    pass', chr(10)), cast(length(body) % 2 as int)),
+      repeat(concat('    def test_x(self):', chr(10), '        if self:', chr(10), '            pass', chr(10), '        assert self', chr(10)),
+        cast(length(body) - length(replace(body, chr(10), '')) as int))) end) as content
+from (select doc_id, coalesce(text, '') as body from @documents)
 """
 
 SEARCH_RESPONSES = """

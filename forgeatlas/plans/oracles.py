@@ -218,18 +218,21 @@ union all select {_OBS_SUBJECT}, '{_V}methodUsed', '{_V}' || MethodUsed, 'uri',
 union all select {_OBS_SUBJECT}, '{_V}testFileCount', cast(TestFileCount as varchar), 'literal', '{rdf.XSD_INTEGER}' from obs
 """
 
-_METRICS = f"""
-select 'src/' || doc_id || '.py' as file_path,
+_METRICS = """
+select file_path,
   case when bad or k = 0 then -1 else k end as num_test_cases,
   -1 as num_assertions,
   case when bad then -1 else k end as assert_statements,
   not bad as has_setup, false as has_teardown,
   case when bad or k = 0 then -1 else 2 * k end as complexity,
-  case when bad then -1 when k > 0 then 3 else 1 end as cyclomatic_complexity,
-  case when bad then -1 else 3 + 4 * k end as lines_of_code,
-  case when bad then -1 when k > 0 then 2 else 1 end as num_functions,
-  case when bad then 'Could not parse file: src/' || doc_id || '.py' end as analysis_error
-from (select doc_id, doc_id % 13 = 0 as bad, doc_id % 4 as k from documents)
+  case when bad then -1 else 1 + 5 * m + (case when k > 0 then 2 else 0 end) end as cyclomatic_complexity,
+  case when bad then -1 else k + 1 + 3 + 7 * m + 4 * k end as lines_of_code,
+  case when bad then -1 else 1 + m + (case when k > 0 then 1 else 0 end) end as num_functions,
+  case when bad then 'Could not parse file: ' || file_path end as analysis_error
+from (select 'src/' || doc_id || case when doc_id % 11 = 5 then '.txt' else '.py' end as file_path,
+    doc_id % 13 = 0 or doc_id % 11 = 5 as bad,
+    len(string_split(coalesce(text, ''), chr(10))) - 1 as k, length(coalesce(text, '')) % 2 as m
+  from documents)
 """
 _METRICS_TYPED = f"""
 select file_path, cast(num_test_cases as bigint) as num_test_cases, cast(num_assertions as bigint) as num_assertions,
