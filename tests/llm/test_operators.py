@@ -411,6 +411,28 @@ def test_pipeline_stages(spark, docs, items, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_near_copies_are_found(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    rows, wanted = [], set()
+    for k in range(60):
+        base = rng.choices(words, k=300)
+        copy = list(base)
+        # Every changed word changes five of 296 shingles: at 6 Jaccard is 0.82, at 12 0.66.
+        for at in range(20, 20 + 20 * (6 if k < 40 else 12), 20):
+            copy[at] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        wanted |= {2 * k} if k < 40 else {2 * k, 2 * k + 1}
+    # A chain: neighbours are near copies, its ends are not.
+    base = rng.choices(words, k=300)
+    for k in range(40):
+        base[7 * k] = f"step{k}"
+        rows.append((1000 + k, " ".join(base)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(kept) == sorted(wanted | {1000})
+
+
 def test_queries_on_tables(spark, library):
     import duckdb
 
