@@ -2,7 +2,11 @@
 
 The battery looks at unbroken strings of 20 or more characters with a digit. From the
 characters of a string an encoding is inferred, which gives the alphabet of k symbols:
-hexadecimal, base 32, base 36 (lower case and digits) or base 64. Three tests ask whether
+hexadecimal (also in groups with hyphens), base 32, base 36 (digits and letters of one case)
+or base 64. A string with ``=``, ``/``, ``_``, ``+`` or ``-`` is also cut at these, as a value
+may stand behind a name or in a path: at ``=`` only, then at more of them. Every part of 20 or
+more characters with an encoding is tested and counted like a whole string; of accepted ones
+that lie inside each other the outermost is listed. Three tests ask whether
 the string may be random: chi-squared uniformity over the alphabet, the number of runs
 above and below the middle of the alphabet, and the correlation of neighbours. A string
 that fails one of them (beyond ``LIMIT`` standard deviations) is no secret.
@@ -40,6 +44,8 @@ HEX = r"[0-9a-f]{16,}"
 STRING = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 # Encodings in the order in which they are tried: name, pattern, symbols in order, text rate.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Cut at more and more of the characters that join names, paths and values.
+PARTS = ("[^=]{20,}", "[^=/]{20,}", "[^=/_]{20,}", "[^=/_+-]{20,}")
 MIXED = r"^(?=.*[A-Za-z])(?=.*[0-9])"
 TEXT_RATE = 0.066
 ENCODINGS = (
@@ -47,7 +53,10 @@ ENCODINGS = (
     ("base32", MIXED + r"[A-Z2-7]+=*$", UPPER + DIGITS[2:8], TEXT_RATE),
     ("base36", MIXED + r"[a-z0-9]+$", DIGITS + LOWER, TEXT_RATE),
     ("base64", r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).*$", UPPER + LOWER + DIGITS + "+/", TEXT_RATE),
+    ("upper36", MIXED + r"[A-Z0-9]+$", DIGITS + UPPER, TEXT_RATE),
+    ("groups", MIXED + r"([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$", DIGITS + LOWER[:6], 2 / 16),
 )
+GROUPS = len(ENCODINGS) - 1
 LIMIT = 3.3
 FDR = 0.01
 # Upper ends of the length strata.
@@ -76,6 +85,7 @@ def _tested(span: Column) -> Column:
     def statistics(code: Column) -> Column:
         symbols = F.when(code == 0, F.lower(span["found"])).otherwise(span["found"])
         symbols = F.translate(F.rtrim(F.translate(symbols, "=", " ")), "-_", "+/")
+        symbols = F.when(code == GROUPS, F.lower(F.translate(span["found"], "-", ""))).otherwise(symbols)
         alphabet = _by_encoding(code, [e[2] for e in ENCODINGS])
         size = _by_encoding(code, [float(len(e[2])) for e in ENCODINGS])
         rate = _by_encoding(code, [e[3] for e in ENCODINGS])
@@ -133,9 +143,23 @@ def _tested(span: Column) -> Column:
     return let(_encoding(span["found"]), statistics)
 
 
+def _with_parts(span: Column) -> Column:
+    """A string, and what it is cut into, as ``array<struct<start, stop, found>>``."""
+
+    def of(s: Column, base: Column) -> Column:
+        return F.struct(
+            (base + s["start"]).alias("start"), (base + s["stop"]).alias("stop"), s["found"].alias("found")
+        )
+
+    whole = F.array(of(span, F.lit(0).cast("long")))
+    parts = [F.transform(match_spans(span["found"], p), lambda m: of(m, span["start"])) for p in PARTS]
+    return F.when(span["found"].rlike("[=/_+-]"), F.array_distinct(F.concat(whole, *parts))).otherwise(whole)
+
+
 def tested_strings(text: Column) -> Column:
-    """``array<struct<start, stop, stratum, bin>>`` of the strings with an encoding."""
-    strings = F.filter(match_spans(text, STRING), lambda s: _encoding(s["found"]).isNotNull())
+    """``array<struct<start, stop, stratum, bin>>`` of the strings and parts with an encoding."""
+    strings = F.flatten(F.transform(match_spans(text, STRING), _with_parts))
+    strings = F.filter(strings, lambda s: _encoding(s["found"]).isNotNull())
     return F.when(text.rlike(STRING), F.transform(strings, _tested)).otherwise(F.array().cast(_TESTED))
 
 
@@ -154,7 +178,7 @@ def base_spans(text: Column) -> Column:
 def thresholds(docs: DataFrame, *, text_col: str = "text") -> dict[int, int]:
     """Smallest bin that is accepted, per stratum, from the strings of all documents.
 
-    One count per stratum and bin comes to the driver: at most 24 x 65 rows."""
+    One count per stratum and bin comes to the driver: at most 36 x 65 rows."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     strings = docs.select(F.explode(tested_strings(text)).alias("s"))
     counts = strings.groupBy("s.stratum", "s.bin").count().collect()
@@ -169,6 +193,17 @@ def thresholds(docs: DataFrame, *, text_col: str = "text") -> dict[int, int]:
     return accepted
 
 
+def _outermost(spans: Column) -> Column:
+    """Without the spans that lie inside others."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"))))
+
+    def keep(held: Column) -> Column:
+        ends = running(F.transform(held, lambda s: -s["back"]), 0, lambda a, b: F.greatest(a, b))
+        return let(ends, lambda before: F.filter(held, lambda s, k: -s["back"] > F.get(before, k)))
+
+    return F.transform(let(ordered, keep), lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("stop")))
+
+
 def secret_spans(text: Column, accepted: dict[int, int]) -> Column:
     """All spans as ``array<struct<start, kind, stop>>``, by start, then kind."""
     added = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")
@@ -178,7 +213,7 @@ def secret_spans(text: Column, accepted: dict[int, int]) -> Column:
             tested_strings(text), lambda s: s["bin"] >= F.coalesce(F.try_element_at(levels, s["stratum"]), F.lit(BINS))
         )
         added = F.transform(
-            strings, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["stop"].alias("stop"))
+            _outermost(strings), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["stop"].alias("stop"))
         )
     return F.sort_array(F.concat(base_spans(text), added))
 

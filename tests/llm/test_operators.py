@@ -154,6 +154,34 @@ def test_many_spans_and_random_strings(spark):
     assert clean[99].count("[SECRET]") == 700 and clean[100].startswith("version1")
 
 
+def test_secrets_behind_names_and_in_paths(spark):
+    rng = random.Random(5)
+    lower, upper = (op3_secrets.DIGITS + letters for letters in (op3_secrets.LOWER, op3_secrets.UPPER))
+    forms = {
+        "auth={}": lower, "see /io/cb/{} now": lower, "key_{}": lower, "Auth-{}": lower, "a={}&b": upper, "{} end": upper,
+    }
+    rows, wanted = [], {}
+    for k, (form, symbols) in enumerate(forms.items()):
+        for n in range(30):
+            value = "".join(rng.choices(symbols, k=44))
+            rows.append((100 * k + n, form.format(value)))
+            wanted[100 * k + n] = value
+    for n in range(30):
+        value = "-".join("".join(rng.choices("0123456789abcdef", k=8)) for _ in range(6))
+        rows.append((900 + n, f"id={value}"))
+        wanted[900 + n] = value
+    # Ordinary runs with joints and digits stay.
+    rows += [(2000 + k, f"/usr/share/some_long_directory_name{k}/another-directory-name/file{k}") for k in range(30)]
+    clean = {r["doc_id"]: r["text"] for r in op3_secrets.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for first in [*range(0, 600, 100), 900]:
+        gone = sum(wanted[first + n] not in clean[first + n] for n in range(30))
+        assert gone >= 26, (first, gone)
+    assert all(clean[k] == text for k, text in rows if k >= 2000)
+    spans = op3_secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+    for found in ([s for s in r["secrets"] if s["kind"] == 3] for r in spans):
+        assert all(a["stop"] <= b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_one_unbroken_run_is_searched_once(spark):
     text = "xY" * 400_000 + " " + HEXED
     df = spark.createDataFrame([(1, text)], SCHEMA)
