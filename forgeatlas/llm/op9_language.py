@@ -26,8 +26,9 @@ SEED = 7
 SAMPLE_PER_LANGUAGE = 1500
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-# The pipeline rejects a text whose best cosine is lower.
-MIN_SCORE = 0.05
+# A text of JUDGED_LETTERS or more is like no learned language if its best cosine is below
+# MIN_SCORE, the noise of 1024 random signs. Shorter texts are never judged by their score.
+MIN_SCORE, JUDGED_LETTERS = 0.05, 60
 
 
 @lru_cache(maxsize=1)
@@ -127,10 +128,10 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def language(text: Column, names: list[str], prototypes: np.ndarray) -> Column:
-    """``struct<lang_pred, score>`` of whole texts; ``und`` with score 0 if the text is null
-    or has no letter (or nothing was learned). Equal cosines: first name in order."""
+    """``struct<lang_pred, score, letters>`` of whole texts; ``und`` with score 0 if the text is
+    null or has no letter (or nothing was learned). Equal cosines: first name in order."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, letters long")
     def predict(texts: pd.Series) -> pd.DataFrame:
         vectors, letters = text_vectors(texts.tolist(), len(texts))
         found = np.full(len(texts), UNKNOWN, object)
@@ -141,11 +142,19 @@ def language(text: Column, names: list[str], prototypes: np.ndarray) -> Column:
             best = cosine.argmax(axis=1)
             found[known] = np.array(names, object)[best]
             score[known] = np.clip(cosine[np.arange(len(known)), best], 0, 1)
-        return pd.DataFrame({"lang_pred": found, "score": score})
+        return pd.DataFrame({"lang_pred": found, "score": score, "letters": letters})
 
     return predict(text)
 
 
+def accepted(found: Column, names: list[str]) -> Column:
+    """Whether a document stays, from what :func:`language` returned: it has a letter, and is
+    not a long text that is unlike all that was learned. Where nothing was learned only
+    letterless texts are rejected."""
+    unlike = (found["letters"] >= JUDGED_LETTERS) & (found["score"] < MIN_SCORE)
+    return (found["letters"] > 0) & ~(F.lit(bool(names)) & unlike)
+
+
 def identify(
     docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -155,7 +164,9 @@ def identify(
     at."""
     model = learn(labelled)
     rows = pick(docs, id_col, text_col)
-    return rows.select("doc_id", language(F.col("text"), *model).alias("l")).select("doc_id", "l.*")
+    return rows.select("doc_id", language(F.col("text"), *model).alias("l")).select(
+        "doc_id", "l.lang_pred", "l.score"
+    )
 
 
 def learned_rows(docs: DataFrame) -> DataFrame:
