@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeatlas.llm import near_copies, op1_bpe, op3_secrets, op9_language, op10_decontaminate
+from forgeatlas.llm import op1_bpe, op3_secrets, op4_simhash, op9_language, op10_decontaminate
 from forgeatlas.llm.common import fresh, store, table
 
 #: SQL can't express hashing with a seed, learned profiles, or tokenizing.
@@ -18,25 +18,28 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: null, without a letter, or unlike all that was learned."""
+    """Drops texts that language ID rejects: null, without a letter, or long and unlike all
+    that was learned."""
     names, prototypes = op9_language.learn(op9_language.learned_rows(docs))
     name = fresh(docs, "_language")
     found = docs.withColumn(name, op9_language.language(F.col("text"), names, prototypes))
-    known = (F.col(name)["lang_pred"] != op9_language.UNKNOWN) & (F.col(name)["score"] >= op9_language.MIN_SCORE)
-    return found.filter(known).drop(name)
+    return found.filter(op9_language.accepted(F.col(name), names)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies (five-word shingles, similarity of 0.8
-    or more): the one with the smallest key; of rows that repeat a key one stays. Rows
-    without a key cannot be told apart by it and stay."""
-    text = F.col("text")
-    marked = docs.select("doc_id", "text").withColumn("mark", near_copies.marks(text))
-    marked = store(marked.select("doc_id", "text", "mark.*"), "marked")
-    firsts = marked.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    keys = firsts.join(near_copies.classes(marked), "set").groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    kept = docs.join(keys.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    """Keeps one row of each SimHash class (four-word shingles, at most 4 differing bits): the
+    one with the smallest key (a missing key comes last), then the smallest hash of the text,
+    then the first row. Rows are told apart by a number, not by their key, so a repeated or
+    missing key loses no text of another class."""
+    name = fresh(docs, "_row")
+    order = F.struct(
+        F.col("doc_id").isNull().alias("keyless"), "doc_id", F.xxhash64("text").alias("text"),
+        F.monotonically_increasing_id().alias("number"),
+    )
+    numbered = store(docs.withColumn(name, order), "numbered")
+    found = op4_simhash.near_duplicates(numbered, id_col=name)
+    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.number").alias("first"))
+    return numbered.join(firsts, F.col(f"`{name}`.number") == F.col("first"), "left_semi").drop(name)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
