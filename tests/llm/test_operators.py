@@ -439,26 +439,47 @@ def test_pipeline_stages(spark, docs, items, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
-def test_near_copies_are_found(spark):
+def test_one_row_of_each_class_stays(spark):
+    """Classes and kept rows against all pairs of fingerprints; keys repeat or are missing."""
     rng = random.Random(4)
     words = [f"w{k}" for k in range(5000)]
-    rows, wanted = [], set()
-    for k in range(60):
-        base = rng.choices(words, k=300)
-        copy = list(base)
-        # Every changed word changes five of 296 shingles: at 6 Jaccard is 0.82, at 12 0.66.
-        for at in range(20, 20 + 20 * (6 if k < 40 else 12), 20):
-            copy[at] = "changed"
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
-        wanted |= {2 * k} if k < 40 else {2 * k, 2 * k + 1}
-    # A chain: neighbours are near copies, its ends are not.
-    base = rng.choices(words, k=300)
-    for k in range(40):
-        base[7 * k] = f"step{k}"
-        rows.append((1000 + k, " ".join(base)))
-    df = spark.createDataFrame(rows, SCHEMA)
-    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
-    assert sorted(kept) == sorted(wanted | {1000})
+    rows = []
+    for k in range(50):
+        base = rng.choices(words, k=400)
+        rows.append((k % 30, " ".join(base)))  # some keys have two different texts
+        for _ in range(rng.randrange(3)):
+            copy = list(base)
+            copy[rng.randrange(400)] = "changed"
+            rows.append((rng.choice([None, 100 + k, k % 30]), " ".join(copy)))
+    rows += [(None, "no copy of this one"), (None, "no copy of that one"), (3, None), (200, ""), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'x' AS _row")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    prints = [op4_simhash.fingerprint(t) for _, t in rows]
+    left, wanted = set(range(len(rows))), 0
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            at = todo.pop()
+            group.add(at)
+            near = {k for k in left if (prints[k] ^ prints[at]).bit_count() <= 4}
+            left -= near
+            todo += near
+        wanted += 1
+        keys = [rows[k][0] for k in group if rows[k][0] is not None]
+        texts = {rows[k][1] for k in group if rows[k][0] == (min(keys) if keys else None)}
+        stays = [r for r in kept.collect() if r["text"] in {rows[k][1] for k in group}] if wanted < 4 else []
+        assert wanted >= 4 or (len(stays) == 1 and stays[0]["text"] in texts)
+    assert kept.count() == wanted
+
+
+def test_language_stage_keeps_short_and_unlearned_texts(spark, tmp_path):
+    rows = [(k, PROSE * 5 if k % 3 else "A.", "en") for k in range(40)] + [(50, "123", "en"), (51, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()}
+    assert kept == set(range(40))
+    nothing = df.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, nothing, "").collect()} == set(range(40))
 
 
 def test_queries_on_tables(spark, library):
