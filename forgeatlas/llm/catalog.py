@@ -18,11 +18,12 @@ from forgeatlas.llm.op9_language import op9_language
 from forgeatlas.llm.op10_decontaminate import op10_decontaminate
 from forgeatlas.llm.op11_packing import op11_packing
 from forgeatlas.llm.op12_structure import op12_structure
+from forgeatlas.llm.op13_alignment import op13_alignment
 
 QUERIES = (
     op1_bpe, op2_quality, op3_secrets, op4_simhash, op5_idfile,
     op6_rules, op7_chat, op8_tokens, op9_language, op10_decontaminate,
-    op11_packing, op12_structure,
+    op11_packing, op12_structure, op13_alignment,
 )
 
 
