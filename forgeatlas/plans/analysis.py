@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgeatlas.operators.content_language import (
+    LanguageModel,
+    fit,
+    label_with_learned,
+    self_labelled,
+)
 from forgeatlas.operators.languages import label_files, unlabelled
 from forgeatlas.operators.metrics import code_metrics, python_files, unmeasured
 from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES
@@ -17,13 +23,26 @@ UNKNOWN_SIZE = 64 << 10
 
 
 def run_labelling(spark: SparkSession, root: str, table: str, *, model=None,
-                  hostname: str | None = None) -> None:
-    """Files that are not in the table yet are read, labelled and appended."""
+                  learned: LanguageModel | None = None, hostname: str | None = None) -> None:
+    """Files that are not in the table yet are read, labelled and appended. With ``learned``
+    (see :func:`learn_languages`) files that no rule tells are labelled by their content."""
     listing = list_tree(spark, root).withColumn(
         "file_path", F.concat_ws("/", "host", "repo", "rel_path")
     )
     fresh = unlabelled(listing, processed_paths(spark, table))
-    append_languages(label_files(read_contents(fresh, root), model), table, hostname=hostname)
+    texts = read_contents(fresh, root)
+    if learned is not None:
+        labelled = label_with_learned(texts, learned)
+    else:
+        labelled = label_files(texts, model)
+    append_languages(labelled, table, hostname=hostname)
+
+
+def learn_languages(spark: SparkSession, root: str, path: str) -> LanguageModel:
+    """A model stored at ``path``, learned from the files below ``root`` that carry a telling
+    name; it labels the others."""
+    texts = read_contents(list_tree(spark, root), root)
+    return fit(self_labelled(texts), path)
 
 
 def _located(labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeatlas.functions import text, urls
-from forgeatlas.operators import enrich, files, hosts, languages, metrics, rdf, registry, runners
+from forgeatlas.operators import content_language, enrich, files, hosts, languages, metrics, rdf, registry, runners
 from forgeatlas.operators.order import fill_by_row_id, number_rows
 from forgeatlas.plans import analysis, enrichment, flow, inputs, oracles
 from forgeatlas.plans.api_enrichment import run_api_enrichment
@@ -413,6 +413,23 @@ def language_label(spark, sf_dir):
     return labelled.select("doc_id", "guessed_language")
 
 
+@query
+def language_patterns(spark, sf_dir):
+    """Files without a suffix, told by how they begin."""
+    labelled = languages.label_files(derive(spark, sf_dir, inputs.HEADED))
+    return labelled.select("doc_id", "guessed_language")
+
+
+@query
+def language_content(spark, sf_dir):
+    """Languages learned from the contents of labelled files, for all files."""
+    rows = derive(spark, sf_dir, inputs.UNTOLD)
+    files_ = _spread(rows, "doc_id")
+    model = content_language.fit(files_.filter("language IS NOT NULL"))
+    labelled = content_language.label_by_content(files_.drop("language"), model, key="doc_id")
+    return labelled.select("doc_id", "language", "score")
+
+
 def _load_marker_model():
     """Stand-in for a trained classifier: looks for two markers in the whole text."""
 

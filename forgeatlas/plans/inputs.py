@@ -52,6 +52,25 @@ select doc_id,
 from @documents
 """
 
+# Files whose names do not tell their language; two thirds of the documents with a language
+# teach it, and some texts begin like a script or a page.
+UNTOLD = """
+select doc_id, text as content,
+  concat('page', cast(doc_id % 7 as string), case when doc_id % 5 = 0 then '' else '.txt' end) as name,
+  case when doc_id % 3 <> 1 then lang end as language
+from @documents
+"""
+
+HEADED = """
+select doc_id, concat('file', cast(doc_id as string)) as name, concat(case doc_id % 12
+    when 0 then concat('#!/usr/bin/env python3', chr(10)) when 1 then concat('#!/bin/bash -e', chr(10))
+    when 2 then concat('#!/usr/bin/perl', chr(10)) when 3 then concat('#! /usr/bin/ruby', chr(10))
+    when 4 then concat('#!/usr/bin/env node', chr(10)) when 5 then concat(chr(10), ' <?php ')
+    when 6 then '<?xml version="1.0"?>' when 7 then ' <!DOCTYPE HTML>' when 8 then concat('# python', chr(10))
+    when 9 then concat('#!/usr/bin/fishy', chr(10)) when 10 then 'x <?php ' else '' end, text) as content
+from @documents
+"""
+
 ENRICHMENT = """
   case row_id % 5 when 0 then 'failed' when 1 then null else 'successful' end as clone_status,
   cast(case when row_id % 5 in (0, 1) or row_id % 13 = 0 then -1 when row_id % 13 = 1 then 0 else (row_id * 37) % 1500 end as bigint) as testfilecountlocal,

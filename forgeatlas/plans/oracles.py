@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from forgeatlas.functions import labels, urls
-from forgeatlas.operators import enrich, files, hosts, languages, rdf
+from forgeatlas.operators import content_language, enrich, files, hosts, languages, rdf
 from forgeatlas.plans import inputs
 
 
@@ -154,6 +154,42 @@ _LANG = (
     + " else 'Unknown' end"
 )
 
+# Counts of byte 1- to 3-grams, their weights per language, and the sums of every file.
+_LEARNED = f"""
+with files as (select *, {_SUFFIX} as suffix from ({inputs.for_oracle(inputs.UNTOLD)})),
+bytes as (select doc_id, language, hex(encode(content)) as h from files where content is not null),
+grams as (
+  select doc_id, language, g, count(*) as n from (
+    select doc_id, language, unnest([substr(h, 2 * i - 1, 2 * k) for i in range(1, (len(h) // 2 - k + 2)::bigint)]) as g
+    from bytes, (values (1), (2), (3)) t(k) where len(h) // 2 >= k)
+  group by all),
+learned as (select language, g, sum(n) as n from grams where language is not null group by all),
+taught as (select * from files where language is not null and content is not null),
+facts as (
+  select language, count(*) as files, coalesce(any_value(gn), 0) as grams,
+    (select count(distinct g) from learned) as variety, (select count(distinct suffix) from taught) as suffixes,
+    (select count(*) from (select name from taught group by name having count(*) >= {{names}})) as names,
+    (select count(*) from taught) as all_files
+  from taught left join (select language, sum(n) as gn from learned group by 1) using (language) group by language),
+sums as (
+  select doc_id, f.language, sum(t.n * (round(1000 * ln((l.n + 1) / (f.grams + f.variety)))
+    - round(1000 * ln(1 / (f.grams + f.variety))))) as gained
+  from (select doc_id, g, n from grams) t join learned l using (g) join facts f on f.language = l.language group by all),
+totals as (select doc_id, sum(n) as many from grams group by 1),
+scored as (
+  select d.doc_id, f.language, cast(round(1000 * ln(f.files / f.all_files))
+    + coalesce(t.many, 0) * round(1000 * ln(1 / (f.grams + f.variety))) + coalesce(s.gained, 0)
+    + round(1000 * ln((1 + (select count(*) from taught x where x.language = f.language and x.suffix = d.suffix)) / (f.files + f.suffixes)))
+    + round(1000 * ln((1 + case when (select count(*) from taught x where x.name = d.name) >= {{names}}
+        then (select count(*) from taught x where x.language = f.language and x.name = d.name) else 0 end) / (f.files + f.names)))
+    as bigint) as score
+  from files d cross join facts f left join sums s on s.doc_id = d.doc_id and s.language = f.language
+    left join totals t on t.doc_id = d.doc_id where d.content is not null)
+select f.doc_id, b.language, b.score from files f left join (
+  select * from (select *, row_number() over (partition by doc_id order by score desc, language) as r from scored) where r = 1
+) b on b.doc_id = f.doc_id
+"""
+
 _RULES = {
     "dependency_patterns": [
         ("JUnit", "org.junit.jupiter:junit-jupiter"),
@@ -383,6 +419,15 @@ def build() -> dict[str, str]:
     sql["language_label"] = f"with files as ({_FILES}) select doc_id, {_LANG} as guessed_language from files"
     sql["language_model_hook"] = f"""with files as ({_FILES}) select doc_id, case when contains(content, 'junit:junit') then 'XML'
       when contains(content, 'devDependencies') then 'JSON' else 'Unknown' end as guessed_language from files"""
+    sql["language_content"] = _LEARNED.format(names=content_language.NAME_FILES)
+    firsts = [
+        ("^#![^\n]*\\bpython", "Python"), ("^#![^\n]*\\b(ba|z|da|k)?sh\\b", "Shell"), ("^#![^\n]*\\bperl", "Perl"),
+        ("^#![^\n]*\\bruby", "Ruby"), ("^#![^\n]*\\bnode", "JavaScript"), ("^\\s*<\\?php", "PHP"),
+        ("^\\s*<\\?xml", "XML"), ("^\\s*<!doctype html", "HTML"),
+    ]
+    found = " ".join(f"when regexp_matches(content, '{p}', 'i') then '{v}'" for p, v in firsts)
+    sql["language_patterns"] = f"""select doc_id, case when content is null then 'Unknown' {found} else 'Unknown' end as guessed_language
+      from ({inputs.for_oracle(inputs.HEADED)})"""
     sql["language_pending"] = f"with s as ({_SOURCES}), labelled as ({_LABELLED}) select doc_id, file_path from s where file_path not in (select file_path from labelled)"
     sql["language_upsert"] = _OLD_NEW
     sql["language_table"] = f"""with files as ({_FILES}) select host as hosting_provider, repo as repo_name,
