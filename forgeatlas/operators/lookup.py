@@ -22,7 +22,7 @@ def frequent_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     return counts.filter(F.col(n) > max(1, total // parts)).select(key)
 
 
-def _is_small(stored: DataFrame) -> bool:
+def is_small(stored: DataFrame) -> bool:
     """Whether a stored table is within the broadcast bounds: two partial sums per task."""
     text = F.to_json(F.struct(*stored.columns))
     seen = stored.agg(
@@ -52,7 +52,7 @@ def lookup(
     """
     values = [c for c in right.columns if c != key]
     packed = cut_lineage(right.select(key, F.struct(*values).alias("_value")))
-    if _is_small(packed):
+    if is_small(packed):
         joined = left.join(F.broadcast(packed), key, "left")
         return joined.withColumns({c: F.col("_value")[c] for c in values}).drop("_value")
     if hot is None:
@@ -60,7 +60,7 @@ def lookup(
     hot_rows = cut_lineage(
         packed.join(hot, key, "left_semi").withColumnRenamed("_value", "_hot")
     )
-    if _is_small(hot_rows):
+    if is_small(hot_rows):
         hot_rows = F.broadcast(hot_rows)
     # U+0000 cannot start a key: keys are host names and paths.
     own = F.concat(F.lit("\u0000"), F.col(spread).cast("string"))

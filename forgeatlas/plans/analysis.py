@@ -12,10 +12,18 @@ from forgeatlas.operators.content_language import (
     self_labelled,
 )
 from forgeatlas.operators.languages import label_files, unlabelled
-from forgeatlas.operators.metrics import code_metrics, python_files, unmeasured
-from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES
+from forgeatlas.operators.content_metrics import (
+    DIGEST,
+    Reader,
+    known_contents,
+    measure_listed,
+    unmeasured_content,
+)
+from forgeatlas.operators.metrics import python_files
+from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES, MEASURED_CONTENT
+from forgeatlas.session import cut_lineage
 from forgeatlas.sources.tables import append_languages, processed_paths, read_table
-from forgeatlas.sources.tree import list_tree, read_contents
+from forgeatlas.sources.tree import digest_files, list_tree, read_contents
 
 
 # The language table has no sizes; this much per file decides the number of tasks.
@@ -56,9 +64,35 @@ def _located(labels: DataFrame) -> DataFrame:
     )
 
 
-def run_metrics(spark: SparkSession, root: str, table: str, target: str) -> None:
-    """Python files of the language table without metrics are measured and appended."""
-    labels = python_files(read_table(spark, table, GUESSED_LANGUAGES))
-    fresh = unmeasured(labels, read_table(spark, target, CODE_METRICS))
-    measured = code_metrics(read_contents(_located(fresh), root))
+def append_measured(spark: SparkSession, listed: DataFrame, read: Reader, target: str) -> None:
+    """Listed files (``file_path, content_digest``) whose path and digest are not in
+    the table are measured and appended; contents that the table knows are not parsed."""
+    stored = read_table(spark, target, MEASURED_CONTENT)
+    fresh = unmeasured_content(listed, stored)
+    measured = cut_lineage(measure_listed(fresh, read, known_contents(stored)))
     measured.write.mode("append").parquet(target)
+
+
+def run_metrics(spark: SparkSession, root: str, table: str, target: str) -> None:
+    """Python files of the language table are digested where they lie; those that are new or
+    have changed since they were measured are measured and appended. Of several rows of a
+    path the last content counts, see :func:`current_metrics`."""
+    labels = _located(python_files(read_table(spark, table, GUESSED_LANGUAGES)).dropDuplicates(["file_path"]))
+
+    def read(wanted: DataFrame) -> DataFrame:
+        parts = F.split("file_path", "/", 3)
+        names = {"host": parts[0], "repo": parts[1], "rel_path": parts[2]}
+        size = F.lit(UNKNOWN_SIZE).cast("long").alias("size")
+        return read_contents(wanted.select(*(v.alias(k) for k, v in names.items()), size), root)
+
+    listed = digest_files(labels, root).select("file_path", DIGEST)
+    append_measured(spark, listed, read, target)
+
+
+def current_metrics(spark: SparkSession, root: str, target: str) -> DataFrame:
+    """Metrics of the contents that the files below ``root`` have now."""
+    stored = read_table(spark, target, MEASURED_CONTENT).dropDuplicates(["file_path", DIGEST])
+    now = digest_files(list_tree(spark, root), root).select("file_path", DIGEST)
+    same = now.select("file_path", F.col(DIGEST).alias("_now"))
+    found = stored.join(same, "file_path").filter(F.col(DIGEST).eqNullSafe(F.col("_now")))
+    return found.select(CODE_METRICS.names)

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeatlas.functions import text, urls
-from forgeatlas.operators import content_language, enrich, files, hosts, languages, metrics, rdf, registry, runners
+from forgeatlas.operators import content_language, content_metrics, enrich, files, hosts, languages, metrics, rdf, registry, runners
 from forgeatlas.operators.order import fill_by_row_id, number_rows
 from forgeatlas.plans import analysis, enrichment, flow, inputs, oracles
 from forgeatlas.plans.api_enrichment import run_api_enrichment
 from forgeatlas.plans.cleaning import clean_rows, repositories_per_host
 from forgeatlas.plans.inputs import derive
-from forgeatlas.schemas import REGISTRY_CLEAN, REGISTRY_COLUMNS
-from forgeatlas.session import parallelism, scratch_path
-from forgeatlas.sources import api_json, ntriples, reports, tables, tree, tsv
+from forgeatlas.schemas import CODE_METRICS, REGISTRY_CLEAN, REGISTRY_COLUMNS
+from forgeatlas.session import cut_lineage, parallelism, scratch_path
+from forgeatlas.sources import api_json, ntriples, reports, tables, tree, tsv, turtle
 from forgeatlas.streaming.progress import measure_stream, measured
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,6 +404,23 @@ def ntriples_scan(spark, sf_dir):
     return rdf.as_graph(ntriples.read_ntriples(spark, folder))
 
 
+@query
+def turtle_scan(spark, sf_dir):
+    """Documents of all rows written over many lines, read in chunks that cut statements."""
+    folder = scratch_path(spark, "rdf")
+    reports.write_documents(_explained(spark, sf_dir), folder, inputs.PROJECT_BASE, turtle=True)
+    return rdf.as_graph(turtle.read_turtle(spark, folder, chunk_chars=5_000))
+
+
+@query
+def rejected_documents(spark, sf_dir):
+    """Rows that the RDF sink cannot write, as it stores them."""
+    folder = scratch_path(spark, "rdf")
+    rejected = f"{folder}-rejected"
+    reports.write_documents(_explained(spark, sf_dir), folder, inputs.PROJECT_BASE, rejected=rejected)
+    return spark.read.parquet(rejected)
+
+
 # Languages ------------------------------------------------------------------
 
 
@@ -543,20 +560,34 @@ def python_files(spark, sf_dir):
     return metrics.python_files(labelled).select("doc_id", "host", "repo", "dir", "name")
 
 
+@query
+def code_metrics_by_content(spark, sf_dir):
+    """Every different content parsed once, looked up for all files that have it."""
+    sources = _sources(spark, sf_dir)
+    listed = content_metrics.listing(sources)
+    measured_ = content_metrics.measure_listed(listed, content_metrics.contents_of(sources))
+    return measured_.drop(content_metrics.DIGEST)
+
+
 @query
 def metrics_pending(spark, sf_dir):
+    """Files that are left are found by their paths; only their contents are read."""
     done = derive(spark, sf_dir, inputs.LABELLED_PATHS)
-    return metrics.code_metrics(metrics.unmeasured(_sources(spark, sf_dir), done))
+    paths = inputs.sources(spark, sf_dir).select("file_path")
+    waiting = metrics.unmeasured(paths, done)
+    return metrics.code_metrics(content_metrics.contents_of(_sources(spark, sf_dir))(waiting))
 
 
 @query
 def metrics_append(spark, sf_dir):
-    """Two runs: the files of the labels table first, then what is left."""
+    """Two runs over one stored table: the files of the labels table first, then what is left."""
+    folder = scratch_path(spark, "metrics")
     sources = _sources(spark, sf_dir)
+    listed = cut_lineage(content_metrics.listing(sources))
     earlier = derive(spark, sf_dir, inputs.LABELLED_PATHS)
-    done = metrics.code_metrics(sources.join(earlier, "file_path", "left_semi"))
-    rest = metrics.code_metrics(metrics.unmeasured(sources, earlier))
-    return metrics.append_metrics(done, rest)
+    for batch in (listed.join(earlier, "file_path", "left_semi"), listed):
+        analysis.append_measured(spark, batch, content_metrics.contents_of(sources), folder)
+    return tables.read_table(spark, folder, CODE_METRICS)
 
 
 @query
@@ -570,13 +601,17 @@ def metrics_rollup(spark, sf_dir):
 
 @query
 def stream_progress(spark, sf_dir):
+    """Two runs of the stream: all files, then all again, of which some have changed."""
     base = scratch_path(spark, "stream")
     manifests = f"{base}/manifests"
-    _sources(spark, sf_dir).select("file_path", "content").write.parquet(manifests)
-    running = measure_stream(
-        spark, manifests, f"{base}/metrics", f"{base}/checkpoint", files_per_batch=4
-    )
-    running.awaitTermination()
+    files_ = _sources(spark, sf_dir).select("file_path", "content")
+    number = F.regexp_extract("file_path", "[0-9]+", 0).cast("long")
+    more = F.when(number % 7 == 3, F.concat("content", F.lit("x = 1\n"))).otherwise(F.col("content"))
+    for listed in (files_, files_.withColumn("content", more)):
+        listed.write.mode("append").parquet(manifests)
+        measure_stream(
+            spark, manifests, f"{base}/metrics", f"{base}/checkpoint", files_per_batch=4
+        ).awaitTermination()
     return measured(spark, f"{base}/metrics")
 
 

@@ -415,6 +415,9 @@ def build() -> dict[str, str]:
     sql["observation_graph"] = f"with obs as ({_OBSERVATIONS}) select distinct * from ({_OBS_TRIPLES})"
     sql["ntriples_scan"] = f"{good} select distinct s, p, o, o_kind, o_datatype from triples where row_id not in (select row_id from bad)"
 
+    sql["turtle_scan"] = sql["ntriples_scan"]
+    sql["rejected_documents"] = f"{good} select row_id from bad"
+
     # Languages -----------------------------------------------------------
     sql["language_label"] = f"with files as ({_FILES}) select doc_id, {_LANG} as guessed_language from files"
     sql["language_model_hook"] = f"""with files as ({_FILES}) select doc_id, case when contains(content, 'junit:junit') then 'XML'
@@ -452,7 +455,10 @@ def build() -> dict[str, str]:
           sum(case when num_functions > 0 then cyclomatic_complexity else 0 end) / sum(case when num_functions > 0 then num_functions else 0 end)
           else 0.0 end, 9) as avg_complexity
       from m group by repo_no"""
-    sql["stream_progress"] = _METRICS_TYPED
+    sql["code_metrics_by_content"] = _METRICS_TYPED
+    sql["stream_progress"] = f"""select * replace (case when analysis_error is null and
+        cast(regexp_extract(file_path, '[0-9]+') as bigint) % 7 = 3 then lines_of_code + 1 else lines_of_code end as lines_of_code)
+      from ({_METRICS_TYPED})"""
 
     # API responses -------------------------------------------------------
     sql["api_items"] = """select user_id as repo, count(*) filter (where event_id % 40 <> 0) as testfilecount,

@@ -63,6 +63,9 @@ CODE_METRICS = _struct(
     ("analysis_error", S),
 )
 
+# Metrics rows that say which content they were taken from.
+MEASURED_CONTENT = T.StructType([*CODE_METRICS.fields, T.StructField("content_digest", S, True)])
+
 SEARCH_BODY = T.StructType(
     [T.StructField("items", T.ArrayType(_struct(("name", S), ("path", S))), True)]
 )

@@ -7,6 +7,7 @@ executor mounts.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -190,6 +191,40 @@ def read_contents(files: DataFrame, root: str, bytes_per_task: int = 512 << 20)
     )
 
 
+def _digester(root: str, chunk_bytes: int):
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, repo, rel in zip(batch["host"], batch["repo"], batch["rel_path"], strict=True):
+                state = error = None
+                try:
+                    with open(_raw(os.path.join(root, host, repo, rel)), "rb") as file:
+                        state = hashlib.sha256()
+                        while data := file.read(chunk_bytes):
+                            state.update(data)
+                except OSError as problem:
+                    state, error = None, f"{type(problem).__name__}: {problem}"
+                rows.append((host, repo, rel, state and state.hexdigest(), error))
+            yield pd.DataFrame(rows, columns=["host", "repo", "rel_path", "content_digest", "read_error"])
+
+    return digest
+
+
+def digest_files(files: DataFrame, root: str, *, bytes_per_task: int = 512 << 20, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """``host, repo, rel_path, content_digest, read_error, file_path`` of the listed files: the
+    SHA-256 of their bytes, taken where they lie. A file of any size is read in chunks; no
+    content leaves its task. An unreadable file has no digest and says why."""
+    spark = files.sparkSession
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(parallelism(spark), -(-total // bytes_per_task))
+    paths = files.select("host", "repo", "rel_path").repartition(tasks, "host", "repo", "rel_path")
+    found = paths.mapInPandas(
+        _digester(local_root(root), chunk_bytes),
+        "host string, repo string, rel_path string, content_digest string, read_error string",
+    )
+    return found.withColumn("file_path", F.concat_ws("/", "host", "repo", "rel_path"))
+
+
 def write_tree(files: DataFrame, root: str) -> int:
     """Write ``(host, repo, rel_path, content)`` as a tree; returns the number of files."""
     root = local_root(root)

@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from forgeatlas.operators.metrics import code_metrics, unmeasured
-from forgeatlas.schemas import CODE_METRICS
+from forgeatlas.operators.content_metrics import DIGEST, Reader, contents_of, listing, measure_listed
+from forgeatlas.schemas import CODE_METRICS, MEASURED_CONTENT
+from forgeatlas.session import scratch_path
 from forgeatlas.sources.tables import read_table
 
 MANIFEST = "file_path string, content string"
-_STORED = T.StructType([*CODE_METRICS.fields, T.StructField("batch_id", T.LongType())])
+PATHS_ONLY = f"file_path string, {DIGEST} string"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+KEEP_SECONDS = 90 * 24 * 3600
+_STORED = T.StructType([*MEASURED_CONTENT.fields, T.StructField("batch_id", T.LongType())])
+_CHANGED = f"file_path string, {DIGEST} string, manifest string"
+
+
+def _changes(keep_ms: int):
+    """Passes a file when it is new, when its digest is not the last one, or when it was not
+    listed for the time that state is kept."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        newest = None
+        for frame in frames:
+            for digest, manifest, listed in zip(frame[DIGEST], frame["manifest"], frame["listed"], strict=True):
+                row = (listed, manifest, digest or "")
+                newest = row if newest is None else max(newest, row)
+        _, manifest, digest = newest
+        last, seen = state.get if state.exists else (None, 0)
+        if last != digest or now - seen > keep_ms:
+            yield pd.DataFrame({"file_path": [key[0]], DIGEST: [digest or None], "manifest": [manifest]})
+        state.update((digest, now))
+        state.setTimeoutDuration(keep_ms)
+
+    return step
 
 
 def measure_stream(
@@ -22,34 +57,80 @@ def measure_stream(
     *,
     files_per_batch: int = 100,
     done: DataFrame | None = None,
+    read: Reader | None = None,
+    keep_seconds: float = KEEP_SECONDS,
 ) -> StreamingQuery:
-    """Measure the files of new manifests; a path seen before is skipped.
+    """Measure the files of new manifests whose content is not the one measured last.
 
-    Seen paths are state of the stream, partitioned by path, so a batch does not
-    read earlier results again. ``done`` names files measured elsewhere. The unit
-    of progress is the micro-batch: it writes only its own folder and replaces it
-    when it is replayed after a failure, so every file is in the result once.
+    State holds the last digest of every path and nothing else; it leaves the store when a path
+    was not listed for ``keep_seconds``, after which it passes like a new one. Contents are not
+    shuffled: the digest is taken where a manifest is scanned, and a batch reads the contents
+    of what has passed. Manifests carry contents (``MANIFEST``); with ``read``, which gives the
+    contents of paths, they carry digests (``PATHS_ONLY``). Of several listings of a path in
+    one batch the one of the newest manifest counts. ``done`` names files measured elsewhere,
+    by path, or by path and digest if it has digests.
+
+    The unit of progress is the micro-batch: it writes only its own folder and replaces it when
+    it is replayed after a failure, so every change is in the result once. The sizes of a batch
+    are bounded by ``files_per_batch`` manifests.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        code_metrics(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        # One evaluation: the state of a batch is locked by the job that updates it.
+        folder = scratch_path(batch.sparkSession, "changed")
+        batch.write.parquet(folder)
+        changed = batch.sparkSession.read.schema(_CHANGED).parquet(folder)
+        reader = read
+        if reader is None:
+            names = [unquote(r["manifest"]) for r in changed.select("manifest").distinct().collect()]
+            session = batch.sparkSession
+            rows = session.read.schema(MANIFEST).parquet(*names) if names else session.createDataFrame([], MANIFEST)
+            reader = contents_of(rows)
+        measured_ = measure_listed(changed, reader)
+        measured_.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    listed = (
-        spark.readStream.schema(MANIFEST)
+    rows = (
+        spark.readStream.schema(MANIFEST if read is None else PATHS_ONLY)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(manifests)
+        .withColumns({
+            "manifest": F.col("_metadata.file_path"),
+            "listed": F.unix_millis(F.col("_metadata.file_modification_time")),
+        })
     )
+    digest = F.sha2(F.col("content").cast("binary"), 256) if read is None else F.col(DIGEST)
+    listed = rows.filter("file_path IS NOT NULL").select("file_path", digest.alias(DIGEST), "manifest", "listed")
     if done is not None:
-        listed = unmeasured(listed, done)
-    return (
-        listed.dropDuplicates(["file_path"])
-        .writeStream.foreachBatch(write)
+        keys = ["file_path", *([DIGEST] if DIGEST in done.columns else [])]
+        listed = listed.join(done.select(keys).distinct(), keys, "left_anti")
+    passed = listed.groupBy("file_path").applyInPandasWithState(
+        _changes(int(keep_seconds * 1000)), _CHANGED, f"{DIGEST} string, seen long", "update",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
+    writer = (
+        passed.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    # A stream takes over the settings at its start. State that can time out would otherwise
+    # ask for one empty batch after the other, and a run would not end.
+    before = spark.conf.get(_EMPTY_BATCHES)
+    spark.conf.set(_EMPTY_BATCHES, "false")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(_EMPTY_BATCHES, before)
+
+
+def measured(spark: SparkSession, target: str, *, history: bool = False) -> DataFrame:
+    """The metrics so far: of every file those of its last content, or with ``history`` of all
+    contents, with digest and batch."""
+    rows = read_table(spark, target, _STORED)
+    if history:
+        return rows
+    last = rows.groupBy("file_path").agg(F.max_by(F.struct(*rows.columns), "batch_id").alias("last"))
+    return last.select("last.*").select(CODE_METRICS.names)
 
 
-def measured(spark: SparkSession, target: str) -> DataFrame:
-    """The result so far."""
-    return read_table(spark, target, _STORED).drop("batch_id")
+__all__ = ["MANIFEST", "PATHS_ONLY", "listing", "measure_stream", "measured"]

@@ -1,10 +1,14 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from forgeatlas.operators import languages, metrics
-from forgeatlas.plans.analysis import run_labelling, run_metrics
+from forgeatlas.operators import content_metrics, languages, lookup, metrics
+from forgeatlas.plans.analysis import current_metrics, run_labelling, run_metrics
 from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES
 from forgeatlas.sources import api_json, tables
+from forgeatlas.sources.tree import digest_files, list_tree, read_contents
 from forgeatlas.streaming.progress import measure_stream, measured
 
 TEST_CLASS = """
@@ -179,6 +183,112 @@ def test_stream_resumes(spark, tmp_path):
     assert len(got) == 21 and set(got) == {f"f{i}.py" for i in range(20)} | {"g.py"}
 
 
+def _append(spark, folder, rows):
+    df = spark.createDataFrame(rows, "file_path string, content string")
+    df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_stream_measures_changes_and_forgets_old_paths(spark, tmp_path):
+    manifests, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    run = lambda keep: measure_stream(spark, manifests, target, checkpoint, keep_seconds=keep).awaitTermination()
+    history = lambda: sorted((r.file_path, r.lines_of_code) for r in measured(spark, target, history=True).collect())
+    for lines in ("x = 1\n", "x = 1\n", "x = 1\ny = 2\n", "x = 1\n"):
+        _append(spark, manifests, [("a.py", lines), ("b.py", "z = 1\n"), ("c.txt", None)])
+        run(3600)
+    # Listed four times, changed twice; the others passed once.
+    assert history() == [("a.py", 1), ("a.py", 1), ("a.py", 2), ("b.py", 1), ("c.txt", -1)]
+    assert {r.file_path: r.lines_of_code for r in measured(spark, target).collect()} == {"a.py": 1, "b.py": 1, "c.txt": -1}
+    time.sleep(0.2)
+    _append(spark, manifests, [("b.py", "z = 1\n")])
+    run(0.1)  # not listed for longer than that: passes like a new file
+    assert len(history()) == 6 and history()[-3:-1] == [("b.py", 1), ("b.py", 1)]
+
+
+def test_stream_replays_a_batch_into_its_own_folder(spark, tmp_path):
+    """A batch that failed after its write runs again with the same rows."""
+    manifests, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    _append(spark, manifests, [(f"f{k}.py", "x = 1") for k in range(9)])
+    measure_stream(spark, manifests, target, checkpoint).awaitTermination()
+    for name in os.listdir(tmp_path / "ckpt" / "commits"):  # the commit of the batch was lost
+        os.remove(tmp_path / "ckpt" / "commits" / name)
+    measure_stream(spark, manifests, target, checkpoint).awaitTermination()
+    got = [(r.file_path, r.batch_id) for r in measured(spark, target, history=True).collect()]
+    assert sorted(got) == [(f"f{k}.py", 0) for k in range(9)]
+
+
+def test_stream_of_digests_reads_contents_afterwards(spark, tmp_path):
+    root = tmp_path / "repos"
+    _tree(root)
+    listed = digest_files(list_tree(spark, str(root)), str(root)).select("file_path", "content_digest")
+    listed.write.parquet(str(tmp_path / "in"))
+    asked = []
+
+    def read(wanted):
+        asked.extend(r.file_path for r in wanted.collect())
+        parts = F.split("file_path", "/", 3)
+        return read_contents(
+            wanted.select(parts[0].alias("host"), parts[1].alias("repo"), parts[2].alias("rel_path"), F.lit(1).alias("size")), str(root))
+
+    measure_stream(spark, *(str(tmp_path / n) for n in ("in", "out", "ckpt")), read=read).awaitTermination()
+    got = {r.file_path: r.num_test_cases for r in measured(spark, str(tmp_path / "out")).collect()}
+    assert set(got) == {"h/r/a.py", "h/r/test_b.py", "h/r/c.txt", "h/s/.d.py"} and got["h/r/test_b.py"] == 1
+    assert sorted(asked) == ["h/r/a.py", "h/r/test_b.py", "h/s/.d.py"]
+
+
+def test_no_content_moves_before_the_state(spark, tmp_path):
+    """The plan of a batch exchanges paths and digests only."""
+    manifests, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    _append(spark, manifests, [("a.py", "x = 1")])
+    query = measure_stream(spark, manifests, target, checkpoint)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and not any("content#" in line.replace("content_digest#", "") for line in moved)
+    below = plan[plan.index("Exchange"):]
+    assert "content#" not in below[: below.index("sha2")].replace("content_digest#", "")
+
+
+def test_every_different_content_is_parsed_once(spark, tmp_path):
+    rows = [(f"{k}.py", f"def test_{k % 3}(): pass") for k in range(30)] + [(f"e{k}.py", "") for k in range(20)]
+    rows += [("n.py", None), ("t.txt", "def test_0(): pass"), ("bad.py", "def ("), ("bad2.py", "def (")]
+    files = spark.createDataFrame(rows, "file_path string, content string").repartition(4)
+    listed, read = content_metrics.listing(files), content_metrics.contents_of(files)
+    assert content_metrics.parse_contents(listed, read).count() == 5  # three tests, empty, broken
+    plain = {r.file_path: tuple(r) for r in metrics.code_metrics(files).collect()}
+    found = content_metrics.measure_listed(listed, read)
+    assert {r.file_path: tuple(r)[:-1] for r in found.collect()} == plain
+    known = content_metrics.known_contents(found)
+    fresh = files.unionByName(spark.createDataFrame([("new.py", "y = 1"), ("copy.py", "")], files.schema))
+    assert content_metrics.parse_contents(content_metrics.listing(fresh), content_metrics.contents_of(fresh), known).count() == 1
+    again = content_metrics.measure_listed(content_metrics.listing(fresh), content_metrics.contents_of(fresh), known)
+    assert again.count() == len(rows) + 2
+
+
+def test_a_hot_digest_is_looked_up_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    rows = [(f"e{k}.py", "") for k in range(300)] + [(f"{k}.py", f"x = {k}") for k in range(40)]
+    files = spark.createDataFrame(rows, "file_path string, content string").repartition(4)
+    found = content_metrics.measure_listed(content_metrics.listing(files), content_metrics.contents_of(files))
+    assert {r.file_path: tuple(r)[:-1] for r in found.collect()} == {r.file_path: tuple(r) for r in metrics.code_metrics(files).collect()}
+
+
+def test_a_changed_file_of_a_tree_is_measured_again(spark, tmp_path):
+    root, table, target = tmp_path / "repos", str(tmp_path / "labels"), str(tmp_path / "metrics")
+    _tree(root)
+    run_labelling(spark, str(root), table, hostname="n")
+    for _ in range(2):
+        run_metrics(spark, str(root), table, target)
+    assert tables.read_table(spark, target, CODE_METRICS).count() == 3
+    (root / "h/r/a.py").write_text("def f(): pass\n\n\ny = 2\n")
+    (root / "h/s/.d.py").write_bytes(b"x = '\xe9'\n")  # cannot be read as text any more
+    for _ in range(2):
+        run_metrics(spark, str(root), table, target)
+    assert tables.read_table(spark, target, CODE_METRICS).count() == 5
+    now = {r.file_path: r for r in current_metrics(spark, str(root), target).collect()}
+    assert now["h/r/a.py"].lines_of_code == 4 and len(now) == 3
+    assert now["h/s/.d.py"].analysis_error == "Could not parse file: h/s/.d.py"
+
+
 def test_stream_skips_files_measured_elsewhere(spark, tmp_path):
     listed = spark.createDataFrame([("a.py", "x = 1"), ("b.py", "x = 1")], "file_path string, content string")
     listed.write.parquet(str(tmp_path / "in"))
