@@ -179,6 +179,30 @@ def ntriples(triples: DataFrame) -> DataFrame:
     return triples.select(_line(F.col("s"), F.col("p"), node).alias("value"))
 
 
+def turtle_documents(df: DataFrame, base: str) -> DataFrame:
+    """One Turtle document per row over many lines: a prefix for the predicates, then the
+    statements of the row under one subject, texts in long quotes.
+
+    The document is built inside the row, so no grouping is needed.
+    """
+
+    def pair(column: str) -> Column:
+        value = F.col(column).cast("string")
+        safe = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        # Carriage returns are written as escapes: readers may change them at line ends.
+        node = F.concat(F.lit('"""'), F.replace(safe, F.lit("\r"), F.lit("\\r")), F.lit('"""'))
+        if column in _TEXT_COLUMNS:
+            node = F.when(value.startswith("http"), _uri_node(value)).otherwise(node)
+        return F.when(_stated(column), F.concat(F.lit(f"  p:{column}\n    "), node))
+
+    rows = _with_accepted(df).withColumn("subject", _subject(base))
+    head = F.concat(F.lit(f"@prefix p:\n  <{base}> .\n<"), "subject", F.lit(">\n"))
+    body = F.concat_ws(" ;\n", *map(pair, ROW_COLUMNS))
+    text = F.when(body != "", F.concat(head, body, F.lit("\n  .")))
+    opened = rows.select("row_id", F.explode(F.array(F.when(F.col("accepted"), text))).alias("value"))
+    return opened.filter(F.col("value").isNotNull())
+
+
 def row_documents(df: DataFrame, base: str) -> DataFrame:
     """One document per row, its statements on one line each, then an empty line.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgeatlas.operators.hosts import MIN_ROWS, report_lines, with_bucket
-from forgeatlas.operators.rdf import row_documents
+from forgeatlas.operators.rdf import rejected_rows, row_documents, turtle_documents
 
 ROWS_PER_FILE = 1_000_000
 
@@ -53,6 +53,12 @@ def write_errors(failures: DataFrame, path: str) -> None:
     failures.select(block.alias("value")).write.mode("append").text(path)
 
 
-def write_documents(df: DataFrame, path: str, base: str) -> None:
-    """The RDF documents of all rows."""
-    row_documents(df, base).select("value").write.mode("overwrite").text(path)
+def write_documents(df: DataFrame, path: str, base: str, *, turtle: bool = False,
+                    rejected: str | None = None) -> None:
+    """The RDF documents of all rows, a statement per line or (``turtle``) with the
+    statements of a row under one subject. The numbers of the rows that cannot be written
+    are stored at ``rejected``."""
+    documents = turtle_documents if turtle else row_documents
+    documents(df, base).select("value").write.mode("overwrite").text(path)
+    if rejected is not None:
+        rejected_rows(df).write.mode("overwrite").parquet(rejected)
