@@ -104,8 +104,10 @@ def unlabelled(files: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def language_rows(labelled: DataFrame, *, now: Column | None = None,
-                  hostname: str | None = None, first_id: Column | int = 1) -> DataFrame:
-    """Rows of the language table. Values become text, missing values stay missing."""
+                  hostname: str | None = None, first_id: Column | int = 1,
+                  more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the language table. Values become text, missing values stay missing.
+    ``more`` names columns to keep beside those of the table."""
     stamp = F.current_timestamp() if now is None else now
     start = first_id if isinstance(first_id, Column) else F.lit(first_id)
     built = {
@@ -119,7 +121,7 @@ def language_rows(labelled: DataFrame, *, now: Column | None = None,
         "hostname": F.lit(hostname or platform.node()),
     }
     return labelled.select(
-        *(built[f.name].cast(f.dataType).alias(f.name) for f in GUESSED_LANGUAGES)
+        *(built[f.name].cast(f.dataType).alias(f.name) for f in GUESSED_LANGUAGES), *more
     )
 
 

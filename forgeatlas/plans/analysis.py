@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeatlas.operators.content_language import (
@@ -11,7 +11,7 @@ from forgeatlas.operators.content_language import (
     label_with_learned,
     self_labelled,
 )
-from forgeatlas.operators.languages import label_files, unlabelled
+from forgeatlas.operators.languages import label_files, language_rows, unlabelled
 from forgeatlas.operators.content_metrics import (
     DIGEST,
     Reader,
@@ -20,8 +20,9 @@ from forgeatlas.operators.content_metrics import (
     unmeasured_content,
 )
 from forgeatlas.operators.metrics import python_files
-from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES, MEASURED_CONTENT
+from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES, LABELLED_CONTENT, MEASURED_CONTENT
 from forgeatlas.session import cut_lineage
+from forgeatlas.sources.bucket_table import BUCKETS, BucketTable
 from forgeatlas.sources.tables import append_languages, processed_paths, read_table
 from forgeatlas.sources.tree import digest_files, list_tree, read_contents
 
@@ -46,6 +47,31 @@ def run_labelling(spark: SparkSession, root: str, table: str, *, model=None,
     append_languages(labelled, table, hostname=hostname)
 
 
+def update_labels(spark: SparkSession, root: str, path: str, *, model=None,
+                  learned: LanguageModel | None = None, hostname: str | None = None,
+                  now: Column | None = None, buckets: int = BUCKETS) -> int:
+    """Labels of all files below ``root`` in an updated table (``LABELLED_CONTENT``): new files
+    are added, files with another content are labelled again, and the rest is neither read
+    nor written. Returns the number of buckets of the table that were replaced."""
+    table = BucketTable(spark, path, LABELLED_CONTENT).create(buckets)
+    listed = digest_files(list_tree(spark, root), root).select("file_path", DIGEST)
+    fresh = cut_lineage(unmeasured_content(listed, table.read()))
+    parts = F.split("file_path", "/", 3)
+    located = fresh.select(
+        parts[0].alias("host"), parts[1].alias("repo"), parts[2].alias("rel_path"),
+        F.lit(UNKNOWN_SIZE).cast("long").alias("size"),
+    )
+    texts = read_contents(located, root)
+    labelled = label_files(texts, model) if learned is None else label_with_learned(texts, learned)
+    # Labels are narrow; contents stay where they were read.
+    digested = labelled.withColumn("_now", F.sha2(F.col("content").cast("binary"), 256)).drop("content")
+    digested = digested.join(fresh, "file_path").withColumn(DIGEST, F.coalesce("_now", DIGEST))
+    first = table.read().agg(F.coalesce(F.max("id") + 1, F.lit(1))).scalar()
+    stamp = F.current_timestamp() if now is None else now
+    rows = language_rows(digested, now=stamp, hostname=hostname, first_id=first, more=(DIGEST,))
+    return table.upsert(rows, now=stamp)
+
+
 def learn_languages(spark: SparkSession, root: str, path: str) -> LanguageModel:
     """A model stored at ``path``, learned from the files below ``root`` that carry a telling
     name; it labels the others."""

@@ -14,9 +14,9 @@ from forgeatlas.plans import analysis, enrichment, flow, inputs, oracles
 from forgeatlas.plans.api_enrichment import run_api_enrichment
 from forgeatlas.plans.cleaning import clean_rows, repositories_per_host
 from forgeatlas.plans.inputs import derive
-from forgeatlas.schemas import CODE_METRICS, REGISTRY_CLEAN, REGISTRY_COLUMNS
+from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES, REGISTRY_CLEAN, REGISTRY_COLUMNS
 from forgeatlas.session import cut_lineage, parallelism, scratch_path
-from forgeatlas.sources import api_json, ntriples, reports, tables, tree, tsv, turtle
+from forgeatlas.sources import api_json, bucket_table, ntriples, reports, tables, tree, tsv, turtle
 from forgeatlas.streaming.progress import measure_stream, measured
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,6 +475,7 @@ def language_pending(spark, sf_dir):
 
 @query
 def language_upsert(spark, sf_dir):
+    """A stored table of labels, updated in two rounds; the second one changes nothing."""
     labelled = languages.label_files(inputs.files(spark, sf_dir)).withColumn(
         "file_path", F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py"))
     )
@@ -487,10 +488,11 @@ def language_upsert(spark, sf_dir):
     update = languages.language_rows(
         labelled, now=F.expr("timestamp '2024-03-01 00:00:00'"), hostname="node-2"
     )
-    merged = languages.merge_upsert(
-        stored, update, now=F.expr("timestamp '2024-06-01 00:00:00'")
-    )
-    return merged.select(
+    table = bucket_table.BucketTable(spark, scratch_path(spark, "labels"), GUESSED_LANGUAGES).create(16)
+    table.upsert(stored, now=F.expr("timestamp '2024-01-01 00:00:00'"))
+    for day in ("2024-06-01", "2024-07-01"):
+        table.upsert(update, now=F.lit(f"{day} 00:00:00").cast("timestamp"))
+    return table.read().select(
         "file_path",
         "guessed_language",
         F.col("date_created").cast("string").alias("date_created_text"),

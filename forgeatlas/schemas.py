@@ -49,6 +49,9 @@ GUESSED_LANGUAGES = _struct(
     ("hostname", S),
 )
 
+# Labels that say which content they were given for.
+LABELLED_CONTENT = T.StructType([*GUESSED_LANGUAGES.fields, T.StructField("content_digest", S, True)])
+
 CODE_METRICS = _struct(
     ("file_path", S),
     ("num_test_cases", L),
