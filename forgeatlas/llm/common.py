@@ -43,9 +43,11 @@ def crc_bucket(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
-def slices(texts: Iterable[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of (document number, text) with about ``limit`` code points in all. A longer
-    text comes in several pieces; null counts as empty."""
+def slices(
+    texts: Iterable[str | None], limit: int = SLICE_CHARS, most: int | None = None
+) -> Iterator[tuple[list[int], list[str]]]:
+    """Groups of (document number, text) with about ``limit`` code points in all, and at most
+    ``most`` texts. A longer text comes in several pieces; null counts as empty."""
     where: list[int] = []
     held: list[str] = []
     size = 0
@@ -53,7 +55,7 @@ def slices(texts: Iterable[str | None], limit: int = SLICE_CHARS) -> Iterator[tu
         text = text or ""
         for at in range(0, max(len(text), 1), limit):
             piece = text[at : at + limit]
-            if held and size + len(piece) > limit:
+            if held and (size + len(piece) > limit or len(held) == most):
                 yield where, held
                 where, held, size = [], [], 0
             where.append(k)

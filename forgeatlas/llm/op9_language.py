@@ -26,6 +26,8 @@ SEED = 7
 SAMPLE_PER_LANGUAGE = 1500
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
+# Texts whose trigram counts are held at once, a row of a matrix each.
+TEXTS_AT_ONCE = 256
 # A text of JUDGED_LETTERS or more is like no learned language if its best cosine is below
 # MIN_SCORE, the noise of 1024 random signs. Shorter texts are never judged by their score.
 MIN_SCORE, JUDGED_LETTERS = 0.05, 60
@@ -53,7 +55,7 @@ def text_vectors(texts: Iterable[str | None], count: int) -> tuple[np.ndarray, n
     out = np.zeros((count, DIMENSIONS), np.float32)
     letters = np.zeros(count, np.int64)
     first, second, third = letter_vectors()
-    for where, held in slices(texts):
+    for where, held in slices(texts, most=TEXTS_AT_ONCE):
         framed = [f"\n{t.lower()}\n" for t in held]
         size = np.fromiter(map(len, framed), np.int64, len(framed))
         points = np.frombuffer("".join(framed).encode("utf-32-le"), "<u4")
