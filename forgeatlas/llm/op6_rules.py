@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled cutoffs. Columns only, no Python on the rows.
 
-Every rule compares one share or mean of a text with a cutoff from a fixed grid. Cutoffs are
-selected on labelled documents: for each stratum (by number of words), rule and cutoff the
-good documents that the cutoff would reject are counted over all labels. With n good
-documents of which k are rejected, the chance of seeing at most k if the true rate were
-``RISK`` / rules is an exact binomial tail; a cutoff is admitted if this chance is at most
-``ERROR`` divided by the number of all tests (Bonferroni). So with confidence 1 - ``ERROR``
-no stratum loses more than the share ``RISK`` of its good documents to all rules together.
-The strictest admitted cutoff is used; where none is admitted the rule is silent.
+Every rule compares one share or mean of a text with a cutoff from a fixed grid. A *setting*
+gives every rule its cutoff; settings are ordered from lenient to strict, so what one rejects
+the next rejects too. For each stratum (by number of words) the good documents among the
+labelled ones that a setting would reject, by any rule, are counted. With n good documents of
+which k are rejected, the chance of seeing at most k if the true rate were ``RISK`` is an
+exact binomial tail; a setting passes if this chance is at most ``ERROR`` divided by the
+number of strata. Settings are tested in their fixed order and the first that does not pass
+ends the test, so no correction within the order is needed: with confidence 1 - ``ERROR`` no
+stratum loses more than the share ``RISK`` of its good documents to all rules together. The
+strictest setting that passed is used; where none passes the rules are silent.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "repeat_share": (0.02, 0.05, 0.1, 0.15),
     "mean_word": (8.0, 10.0, 12.0, 15.0, 20.0, 30.0),
 }
+# Joint settings, from lenient (0) to strict; a rule goes through its grid in even steps.
+SETTINGS = 9
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -159,43 +163,49 @@ def binomial_tail_above(k: int, n: int, rate: float) -> float:
     return min(1.0, total)
 
 
-def select_cutoffs(
+def cutoff(rule: str, setting: int) -> float:
+    """Cutoff of a rule in a joint setting."""
+    grid = RULES[rule]
+    return grid[round((SETTINGS - 1 - setting) * (len(grid) - 1) / (SETTINGS - 1))]
+
+
+def _passed() -> Column:
+    """Number of settings, from the most lenient on, that keep the text."""
+    values, out = _values(), F.lit(0)
+    for setting in range(SETTINGS):
+        kept = F.lit(True)
+        for rule in RULES:
+            kept = kept & (values[rule] <= cutoff(rule, setting))
+        out = out + kept.cast("int")
+    return out
+
+
+def select_settings(
     measured: DataFrame, labels: DataFrame, *, risk: float = RISK, error: float = ERROR
-) -> dict[tuple[int, str], float]:
-    """Strictest admitted cutoff per stratum and rule, from all labelled documents.
+) -> dict[int, int]:
+    """Strictest setting per stratum that passes, from all labelled documents.
 
     ``labels`` has ``doc_id, quality``; a document with several labels counts as good only
-    if all are 1. One count per stratum, rule and grid place comes to the driver."""
+    if all are 1, and once however often its row is repeated (by the strictest verdict on
+    its rows). One count per stratum and setting comes to the driver."""
     good = (
         labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
         .filter("q = 1").select("doc_id")
     )
-    values = _values()
-    levels = F.array(
-        *(
-            F.struct(
-                F.lit(rule).alias("rule"),
-                sum(((values[rule] > c).cast("int") for c in cutoffs), F.lit(0)).alias("level"),
-            )
-            for rule, cutoffs in RULES.items()
-        )
-    )
+    judged = measured.filter(~base_failed()).select("doc_id", _stratum().alias("stratum"), _passed().alias("passed"))
     counts = (
-        measured.filter(~base_failed()).join(good, "doc_id").select(_stratum().alias("stratum"), F.explode(levels).alias("x"))
-        .groupBy("stratum", "x.rule", "x.level").count().collect()
+        judged.join(good, "doc_id").groupBy("doc_id").agg(F.min(F.struct("passed", "stratum")).alias("x"))
+        .groupBy("x.stratum", "x.passed").count().collect()
     )
-    tests = (len(STRATA) + 1) * sum(map(len, RULES.values()))
     chosen = {}
     for stratum in range(len(STRATA) + 1):
-        for rule, cutoffs in RULES.items():
-            held = {c["level"]: c["count"] for c in counts if (c["stratum"], c["rule"]) == (stratum, rule)}
-            n = sum(held.values())
-            for at, cutoff in enumerate(cutoffs):
-                # Rejected by cutoff number ``at``: values above it are above all before it.
-                rejected = sum(x for level, x in held.items() if level > at)
-                if n and binomial_tail(rejected, n, risk / len(RULES)) <= error / tests:
-                    chosen[stratum, rule] = cutoff
-                    break
+        held = {c["passed"]: c["count"] for c in counts if c["stratum"] == stratum}
+        n = sum(held.values())
+        for setting in range(SETTINGS):
+            rejected = sum(x for passed, x in held.items() if passed <= setting)
+            if not n or binomial_tail(rejected, n, risk) > error / (len(STRATA) + 1):
+                break
+            chosen[stratum] = setting
     return chosen
 
 
@@ -203,16 +213,16 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     """Counts of every row with ``base_failed`` and ``kept``.
 
     A null or empty text has no words and fails the base rule; repeated rows and null keys
-    come back as they are (a null key is never labelled); without labels no cutoff is
-    admitted and the base rule alone decides; an empty table gives an empty table; other
+    come back as they are (a null key is never labelled); without labels no setting
+    passes and the base rule alone decides; an empty table gives an empty table; other
     columns are not looked at. Texts are read once; the counts are stored, because selection
     and decision both need them.
     """
     measured = store(measures(docs, id_col=id_col, text_col=text_col), "measures")
-    chosen = select_cutoffs(measured, labels)
-    values, rejected = _values(), F.lit(False)
-    for (stratum, rule), cutoff in sorted(chosen.items()):
-        rejected = rejected | ((_stratum() == stratum) & (values[rule] > cutoff))
+    chosen = select_settings(measured, labels)
+    rejected = F.lit(False)
+    for stratum, setting in sorted(chosen.items()):
+        rejected = rejected | ((_stratum() == stratum) & (_passed() <= setting))
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
