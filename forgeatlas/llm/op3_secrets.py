@@ -5,8 +5,8 @@ characters of a string an encoding is inferred, which gives the alphabet of k sy
 hexadecimal (also in groups with hyphens), base 32, base 36 (digits and letters of one case)
 or base 64. A string with ``=``, ``/``, ``_``, ``+`` or ``-`` is also cut at these, as a value
 may stand behind a name or in a path: at ``=`` only, then at more of them. Every part of 20 or
-more characters with an encoding is tested and counted like a whole string; of accepted ones
-that lie inside each other the outermost is listed. Three tests ask whether
+more characters with an encoding is tested like a whole string; a string and its parts count
+as one test, and of accepted ones that lie inside each other the outermost is listed. Three tests ask whether
 the string may be random: chi-squared uniformity over the alphabet, the number of runs
 above and below the middle of the alphabet, and the correlation of neighbours. A string
 that fails one of them (beyond ``LIMIT`` standard deviations) is no secret.
@@ -42,6 +42,7 @@ HEX = r"[0-9a-f]{16,}"
 
 # Tried only where a run begins: a run is searched for its digit once, however long it is.
 STRING = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+# No group is repeated in any pattern: the matcher would recurse once for each repetition.
 # Encodings in the order in which they are tried: name, pattern, symbols in order, text rate.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Cut at more and more of the characters that join names, paths and values.
@@ -54,7 +55,7 @@ ENCODINGS = (
     ("base36", MIXED + r"[a-z0-9]+$", DIGITS + LOWER, TEXT_RATE),
     ("base64", r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).*$", UPPER + LOWER + DIGITS + "+/", TEXT_RATE),
     ("upper36", MIXED + r"[A-Z0-9]+$", DIGITS + UPPER, TEXT_RATE),
-    ("groups", MIXED + r"([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$", DIGITS + LOWER[:6], 2 / 16),
+    ("groups", MIXED + r"(?=.*-)(?!-)(?!.*--)([0-9a-f-]+|[0-9A-F-]+)(?<!-)$", DIGITS + LOWER[:6], 2 / 16),
 )
 GROUPS = len(ENCODINGS) - 1
 LIMIT = 3.3
@@ -63,7 +64,7 @@ FDR = 0.01
 LENGTHS = (24, 32, 48, 64, 128)
 BINS = 64
 MASK = "[SECRET]"
-_TESTED = "array<struct<start:bigint,stop:bigint,stratum:int,bin:int>>"
+_TESTED = "array<struct<start:bigint,stop:bigint,stratum:int,bin:int,counted:boolean>>"
 
 
 def _encoding(text: Column) -> Column:
@@ -156,11 +157,36 @@ def _with_parts(span: Column) -> Column:
     return F.when(span["found"].rlike("[=/_+-]"), F.array_distinct(F.concat(whole, *parts))).otherwise(whole)
 
 
+def _of_run(span: Column) -> Column:
+    """Tested candidates of one string: itself and its parts, as far as they have an encoding.
+
+    They overlap, so they are one test and not several: the p-value of the best of m is
+    multiplied by m (its bin loses the binary logarithm of m, rounded up), and only the first
+    best one is counted for the thresholds."""
+    candidates = F.filter(_with_parts(span), lambda s: _encoding(s["found"]).isNotNull())
+
+    def adjusted(rows: Column) -> Column:
+        loss = F.ceil(F.log2(F.size(rows).cast("double"))).cast("int")
+        bins = F.transform(rows, lambda s: F.when(s["bin"] > 0, F.greatest(s["bin"] - loss, F.lit(0))).otherwise(s["bin"]))
+        return let(
+            bins,
+            lambda b: F.transform(
+                rows,
+                lambda s, k: F.struct(
+                    s["start"].alias("start"), s["stop"].alias("stop"), s["stratum"].alias("stratum"),
+                    F.get(b, k).alias("bin"), (F.array_position(b, F.array_max(b)) == k + 1).alias("counted"),
+                ),
+            ),
+        )
+
+    return let(F.transform(candidates, _tested), adjusted)
+
+
 def tested_strings(text: Column) -> Column:
-    """``array<struct<start, stop, stratum, bin>>`` of the strings and parts with an encoding."""
-    strings = F.flatten(F.transform(match_spans(text, STRING), _with_parts))
-    strings = F.filter(strings, lambda s: _encoding(s["found"]).isNotNull())
-    return F.when(text.rlike(STRING), F.transform(strings, _tested)).otherwise(F.array().cast(_TESTED))
+    """``array<struct<start, stop, stratum, bin, counted>>`` of the strings and parts with an
+    encoding."""
+    strings = F.flatten(F.transform(match_spans(text, STRING), _of_run))
+    return F.when(text.rlike(STRING), strings).otherwise(F.array().cast(_TESTED))
 
 
 def base_spans(text: Column) -> Column:
@@ -181,7 +207,7 @@ def thresholds(docs: DataFrame, *, text_col: str = "text") -> dict[int, int]:
     One count per stratum and bin comes to the driver: at most 36 x 65 rows."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     strings = docs.select(F.explode(tested_strings(text)).alias("s"))
-    counts = strings.groupBy("s.stratum", "s.bin").count().collect()
+    counts = strings.filter("s.counted").groupBy("s.stratum", "s.bin").count().collect()
     accepted = {}
     for stratum in {c["stratum"] for c in counts}:
         held = {c["bin"]: c["count"] for c in counts if c["stratum"] == stratum}
