@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeatlas.llm.common import crc_bucket, pick, slices, table
+from forgeatlas.llm.common import crc_bucket, pick, slices, store, table
 
 DIMENSIONS = 1024
 LETTERS = 64
 SEED = 7
 # Bound of the learned sample: so many different texts per language are expected.
 SAMPLE_PER_LANGUAGE = 1500
-MAX_LANGUAGES = 500
+# Languages that a text is compared with at once.
+LANGUAGES_AT_ONCE = 1024
 UNKNOWN = "und"
 # Texts whose trigram counts are held at once, a row of a matrix each.
 TEXTS_AT_ONCE = 256
@@ -93,17 +94,11 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     of a language neither shapes its prototype nor fills a task. The vectors are bundled on
     the executors; a vector per language and task comes to the driver."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
+    counts = store(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")), "languages")
     steps = 1 << 20
-    share = F.create_map(
-        *(F.lit(x) for c in counts for x in (c["lang"], min(steps, 1 + steps * SAMPLE_PER_LANGUAGE // max(1, c["texts"]))))
-    )
-    taken = F.pmod(F.col("h"), F.lit(steps)) < share[F.col("lang")]
-    sample = rows.filter(taken).dropDuplicates(["h", "lang"]).repartition(16, "h")
+    share = 1 + F.lit(steps * SAMPLE_PER_LANGUAGE) / F.greatest("texts", F.lit(1))
+    taken = rows.join(counts, "lang").filter(F.pmod(F.col("h"), F.lit(steps)) < F.floor(F.least(F.lit(steps), share)))
+    sample = taken.dropDuplicates(["h", "lang"]).repartition(16, "h")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -121,6 +116,8 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     total: dict[str, np.ndarray] = {}
     for part in sample.select("text", "lang").mapInArrow(bundle, "lang string, bundle binary").collect():
         total[part["lang"]] = total.get(part["lang"], 0) + np.frombuffer(bytes(part["bundle"]), np.float64)
+    if not total:
+        return [], np.zeros((0, DIMENSIONS), np.float32)
     names = sorted(total)
     return names, _unit(np.stack([total[n] for n in names])).astype(np.float32)
 
@@ -140,10 +137,16 @@ def language(text: Column, names: list[str], prototypes: np.ndarray) -> Column:
         score = np.zeros(len(texts))
         known = np.flatnonzero(letters)
         if len(names) and len(known):
-            cosine = _unit(vectors[known]) @ prototypes.T
-            best = cosine.argmax(axis=1)
+            unit = _unit(vectors[known])
+            best, high = np.zeros(len(known), np.int64), np.full(len(known), -np.inf)
+            for at in range(0, len(names), LANGUAGES_AT_ONCE):
+                cosine = unit @ prototypes[at : at + LANGUAGES_AT_ONCE].T
+                top = cosine.argmax(axis=1)
+                value = cosine[np.arange(len(known)), top]
+                better = value > high  # an equal one further on does not count
+                best[better], high[better] = top[better] + at, value[better]
             found[known] = np.array(names, object)[best]
-            score[known] = np.clip(cosine[np.arange(len(known)), best], 0, 1)
+            score[known] = np.clip(high, 0, 1)
         return pd.DataFrame({"lang_pred": found, "score": score, "letters": letters})
 
     return predict(text)
