@@ -5,6 +5,9 @@ item of n characters may occur with k = n // ``CHARS_PER_ERROR`` edits. It is cu
 pieces: an occurrence with k edits leaves one piece untouched, so searching all pieces (one
 automaton for all items) finds every occurrence. Each hit gives a place where the item would
 begin; the text around it is verified with the bit-parallel edit distance of Myers.
+
+An item of fewer than ``MIN_CHARS`` characters has no edits to spend; it is found where it
+stands as whole words.
 """
 
 from __future__ import annotations
@@ -18,16 +21,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from forgeatlas.llm.common import fresh, pick, table
+from forgeatlas.llm.common import fresh, pick, store, table
 
 CHARS_PER_ERROR = 20
-# Items shorter than this (normalised) are too common to be evidence and are not searched.
+# A shorter item allows no edit and counts only between word borders.
 MIN_CHARS = 20
 # A set of items is searched in blocks of at most so many items and so many characters,
 # which bounds what is sent to every task.
 BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
+# Blocks that a worker process keeps built; a plan asks for no more than that.
+KEPT_BLOCKS = 4
 # Texts are searched in stretches of so many characters, which overlap by the longest match.
 STRETCH = 1 << 20
 
@@ -81,6 +87,14 @@ class Pattern:
         return best, end
 
 
+def _alone(text: str, start: int, stop: int) -> bool:
+    """Whether no word goes on before or behind."""
+    joined = (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) or (
+        stop < len(text) and text[stop].isalnum() and text[stop - 1].isalnum()
+    )
+    return not joined
+
+
 @dataclass
 class Items:
     """Searchable form of a block of items; built once per task."""
@@ -118,6 +132,8 @@ class Items:
                     if k in found and found[k][0] == 0:
                         continue
                     errors = self.budgets[k]
+                    if not errors and not _alone(part, end + 1 - size, end + 1):
+                        continue
                     # Hits of one occurrence begin within ``errors`` of each other.
                     start = end + 1 - size - offset
                     cell = (k, start // (errors + 1))
@@ -133,13 +149,13 @@ class Items:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
-    """Blocks of normalised items, read in order. Null, empty and very short items are left
-    out; repeated items are all kept."""
+    """Blocks of normalised items, read in order. Items without a character are left out;
+    repeated items are all kept."""
     ids, texts, size = [], [], 0
     rows = pick(items, id_col, text_col).orderBy("doc_id", "text")
     for row in rows.toLocalIterator():
         text = normalise(row["text"])
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(text) > BLOCK_CHARS):
             yield ids, texts
@@ -163,7 +179,8 @@ class Shared:
 
     def items(self) -> Items:
         if self.key not in _BUILT:
-            _BUILT.clear()
+            while len(_BUILT) >= KEPT_BLOCKS:
+                del _BUILT[next(iter(_BUILT))]
             _BUILT[self.key] = Items(*self.block.value)
         return _BUILT[self.key]
 
@@ -189,6 +206,7 @@ def matches(
     rows = pick(docs, id_col, text_col)
     doc_kind = rows.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema[item_id_col].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id_col].dataType)
 
     def searcher(shared: Shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +222,7 @@ def matches(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(out[0], batch.column(0).type),
-                        pa.array(out[1], None if out[1] else pa.int64()),
+                        pa.array(out[1], item_type),
                         pa.array(out[2], pa.int32()),
                         pa.array(out[3], pa.int64()),
                     ],
@@ -220,29 +238,29 @@ def matches(
     return result
 
 
-def contaminated(spark: SparkSession, text: Column, items: DataFrame) -> Column:
-    """Whether a text contains an item; see :func:`matches`."""
-    out = F.lit(False)
-    for block in blocks(items, "item_id", "text"):
-
-        def make(shared: Shared):
-            @F.pandas_udf("boolean")
-            def test(texts: pd.Series) -> pd.Series:
-                known = shared.items()
-                return pd.Series([bool(known.search(t)) for t in texts], dtype=bool)
+def contaminated(shared: list[Shared], text: Column) -> Column:
+    """Whether a text contains an item of some blocks; see :func:`matches`."""
 
-            return test
+    @F.pandas_udf("boolean")
+    def test(texts: pd.Series) -> pd.Series:
+        known = [block.items() for block in shared]
+        return pd.Series([any(items.search(t) for items in known) for t in texts], dtype=bool)
 
-        out = out | make(Shared(spark, block))(text)
-    return out
+    return test(text)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns. Rows with a null
-    text stay."""
+    text stay. Beyond ``KEPT_BLOCKS`` blocks of items the rows left are stored before the next
+    blocks are searched, so that every block is built once per worker."""
     name = fresh(docs, "_leak")
-    flag = contaminated(docs.sparkSession, F.col(f"`{text_col}`"), items)
-    return docs.withColumn(name, flag).filter(~F.col(name)).drop(name)
+    shared = [Shared(docs.sparkSession, block) for block in blocks(items, "item_id", "text")]
+    for at in range(0, len(shared), KEPT_BLOCKS):
+        if at:
+            docs = store(docs, "clean-so-far")
+        flag = contaminated(shared[at : at + KEPT_BLOCKS], F.col(f"`{text_col}`"))
+        docs = docs.withColumn(name, flag).filter(~F.col(name)).drop(name)
+    return docs
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
