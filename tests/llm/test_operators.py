@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -295,16 +296,17 @@ def test_cutoffs_are_risk_controlled(spark):
     for k, n, p in [(0, 50, 0.1), (3, 40, 0.2), (30, 40, 0.2), (5, 5, 0.5), (7, 200, 0.05)]:
         exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert op6_rules.binomial_tail(k, n, p) == pytest.approx(exact, rel=1e-9)
-    rows = [(k, 200, 1000, 500 if k % 400 == 0 else 5, 0, 0, 10, 0, 0) for k in range(8000)]
     names = "doc_id long, n_words long, word_chars long, n_symbols long, n_repeat_words long, n_dup_lines long, n_lines long, n_upper long, n_bangs long"
-    measured = spark.createDataFrame(rows, names)
-    labels = measured.selectExpr("doc_id", "1 AS quality")
-    chosen = op6_rules.select_cutoffs(measured, labels)
-    # One good text in 400 has half of its characters as symbols: that a cutoff below rejects
-    # less than the admitted share cannot be said with confidence.
-    assert chosen[1, "symbol_share"] == 0.5
-    assert all(stratum == 1 for stratum, _ in chosen)
-    assert chosen[1, "bang_share"] == min(op6_rules.SHARES)
+
+    def chosen(every, many=8000, copies=1):
+        rows = [(k, 200, 1000, 400 if k % every == 0 else 5, 0, 0, 10, 0, 0) for k in range(many)] * copies
+        measured = spark.createDataFrame(rows, names)
+        return op6_rules.select_settings(measured, measured.selectExpr("doc_id", "1 AS quality"))
+
+    # One good text in 400 has many symbols: losing those is within the risk. One in 40 is not.
+    assert chosen(400) == {1: op6_rules.SETTINGS - 1} and chosen(40) == {1: 0}
+    # 203 good texts without a rejection are needed, and copies of rows are no evidence.
+    assert chosen(10**6, 210) and not chosen(10**6, 190) and not chosen(10**6, 190, copies=3)
 
 
 def test_chat_folds_events(spark):
@@ -406,6 +408,43 @@ def test_decontaminate(spark, docs, items):
     assert op10_decontaminate.matches(long, items).count() == 2
 
 
+def test_short_items_and_item_types(spark):
+    """Short items are found as whole words, without edits; keys of items may be of any type."""
+    docs = spark.createDataFrame([(1, "it is a cat. yes"), (2, "concatenate"), (3, "CAT"), (4, None)], SCHEMA)
+    items = spark.createDataFrame([(7, "cat"), (8, " "), (9, None)], "item_id int, text string")
+    found = op10_decontaminate.matches(docs, items)
+    assert found.schema["item_id"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, found.collect())) == [(1, 7, 0, 11), (3, 7, 0, 3)]
+    left = op10_decontaminate.decontaminate(docs, items).collect()
+    assert {r["doc_id"] for r in left} == {2, 4}
+
+
+def test_many_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(op10_decontaminate, "BLOCK_ITEMS", 2)
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choices(PROSE.split(), k=12)) + f" {k}") for k in range(21)]
+    docs = [(k, f"before {items[k][1]} after" if k % 2 else "nothing here") for k in range(21)]
+    df, held = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r["doc_id"], r["distance"]) for r in op10_decontaminate.matches(df, held).collect() if r["doc_id"] == r["item_id"]) == [
+        (k, 0) for k in range(1, 21, 2)]
+    assert {r["doc_id"] for r in op10_decontaminate.decontaminate(df, held).collect()} == set(range(0, 21, 2))
+
+
+def test_many_languages(spark, monkeypatch):
+    """No cap on languages; blocks of them give the first of the best."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(700):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 5)
+        rows.append((k, " ".join("".join(rng.choices(letters, k=6)) for _ in range(40)), f"l{k:03d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op9_language.learn(df.select("text", "lang"))
+    monkeypatch.setattr(op9_language, "LANGUAGES_AT_ONCE", 64)
+    found = op9_language.language(F.col("text"), *model)
+    got = df.select("lang", found.alias("l")).select("lang", "l.lang_pred").collect()
+    assert len(model[0]) == 700 and sum(r["lang"] == r["lang_pred"] for r in got) > 690
+
+
 def test_empty_tables(spark, docs, labels, items):
     none, path = docs.limit(0), op1_bpe.tokenizer_path()
     folder = scratch_path(spark, "idfile-empty")
