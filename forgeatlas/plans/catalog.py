@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeatlas.functions import text, urls
-from forgeatlas.operators import content_language, content_metrics, enrich, files, hosts, languages, metrics, rdf, registry, runners
+from forgeatlas.operators import content_language, content_metrics, enrich, files, hosts, languages, metrics, rdf, registry, rule_index, runners
 from forgeatlas.operators.order import fill_by_row_id, number_rows
 from forgeatlas.plans import analysis, enrichment, flow, inputs, oracles
 from forgeatlas.plans.api_enrichment import run_api_enrichment
@@ -255,6 +255,17 @@ def runner_dependency_hits(spark, sf_dir):
     return runners.rule_matches(inputs.files(spark, sf_dir), "dependency_patterns")
 
 
+@query
+def runner_rules_many(spark, sf_dir):
+    """A rule from every document against the names of all files."""
+    files_ = derive(spark, sf_dir, inputs.NAMED_FILES)
+    of_runner: dict[str, list[str]] = {}
+    for row in derive(spark, sf_dir, inputs.NAME_RULES).toLocalIterator():
+        of_runner.setdefault(row["runner"], []).append(row["pattern"])
+    rules = [runners.RunnerRules(name, file_patterns=tuple(found)) for name, found in of_runner.items()]
+    return rule_index.match_rules(files_, "file_patterns", rules, compiled=0)
+
+
 @query
 def runner_evidence(spark, sf_dir):
     return runners.detect_test_runners(inputs.files(spark, sf_dir))

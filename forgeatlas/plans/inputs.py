@@ -71,6 +71,20 @@ select doc_id, concat('file', cast(doc_id as string)) as name, concat(case doc_i
 from @documents
 """
 
+# Files with names of many kinds, and a rule from the text of every document.
+NAMED_FILES = """
+select doc_id, concat('host', cast(doc_id % 3 as string)) as host, concat('repo', cast(doc_id % 17 as string)) as repo, 'src' as dir,
+  concat(substr(md5(coalesce(text, '')), 1, 12), case when doc_id % 2 = 0 then '.py' else '_test.java' end) as name
+from @documents
+"""
+
+NAME_RULES = """
+select distinct concat('runner', cast(doc_id % 5 as string)) as runner,
+  concat(case when doc_id % 3 = 0 then '.*' else '[a-f][a-z0-9]*' end, substr(md5(cast(doc_id as string)), 1, 3), '.*',
+    case when doc_id % 4 = 0 then '(_test)?' else '' end, '[.](py|java)') as pattern
+from @documents
+"""
+
 ENRICHMENT = """
   case row_id % 5 when 0 then 'failed' when 1 then null else 'successful' end as clone_status,
   cast(case when row_id % 5 in (0, 1) or row_id % 13 = 0 then -1 when row_id % 13 = 1 then 0 else (row_id * 37) % 1500 end as bigint) as testfilecountlocal,

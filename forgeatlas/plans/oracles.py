@@ -362,6 +362,9 @@ def build() -> dict[str, str]:
       from files group by host"""
     for kind, key in (("config_files", "config_hits"), ("file_patterns", "pattern_hits"), ("dependency_patterns", "dependency_hits")):
         sql[f"runner_{key}"] = f"{_HITS} select host, repo, dir, name, runner, pattern from {kind}"
+    sql["runner_rules_many"] = f"""select distinct host, repo, dir, name, runner, pattern
+      from ({inputs.for_oracle(inputs.NAMED_FILES)}) f join ({inputs.for_oracle(inputs.NAME_RULES)}) r
+        on regexp_matches(name, '^(?:' || pattern || ')')"""
     sql["runner_evidence"] = _EVIDENCE
 
     # Enrichment ----------------------------------------------------------
