@@ -16,7 +16,7 @@ from forgeatlas.plans.cleaning import clean_rows, repositories_per_host
 from forgeatlas.plans.inputs import derive
 from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES, REGISTRY_CLEAN, REGISTRY_COLUMNS
 from forgeatlas.session import cut_lineage, parallelism, scratch_path
-from forgeatlas.sources import api_json, bucket_table, ntriples, reports, tables, tree, tsv, turtle
+from forgeatlas.sources import api_json, bucket_table, ntriples, reports, tables, tree, tree_source, tsv, turtle
 from forgeatlas.streaming.progress import measure_stream, measured
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -726,6 +726,15 @@ def tree_scan(spark, sf_dir):
     )
 
 
+@query
+def tree_slice(spark, sf_dir):
+    """Some files of one host of a tree; the scan opens no folder of another host."""
+    root = scratch_path(spark, "repos").removeprefix("file://").removeprefix("file:")
+    tree.write_tree(_file_paths(spark, sf_dir), root)
+    found = tree_source.scan_tree(spark, root)
+    return found.filter((F.col("host") == "host1") & F.col("suffix").isin(".py", ".c"))
+
+
 @query
 def text_reports(spark, sf_dir):
     """Listing of test files and error log, written as text and read back."""

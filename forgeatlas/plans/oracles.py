@@ -496,6 +496,8 @@ def build() -> dict[str, str]:
     sql["csv_roundtrip"] = f"{CLEAN} select * from clean"
     sql["tree_scan"] = f"""with files as ({_FILES}) select host, repo, dir || '/' || name as rel_path, {_SUFFIX} as suffix,
       cast(strlen(content) as bigint) as size, md5(content) as content_md5 from files"""
+    sql["tree_slice"] = f"""with files as ({_FILES}) select host, repo, dir || '/' || name as rel_path, dir, name, {_SUFFIX} as suffix,
+      cast(coalesce(strlen(content), 0) as bigint) as size from files where host = 'host1' and {_SUFFIX} in ('.py', '.c')"""
     sql["text_reports"] = f"""with files as ({_FILES}), lines as (
         select 'Repository URL: https://' || host || '/' || repo as line from files group by host, repo
         union all select '' from files group by host, repo
