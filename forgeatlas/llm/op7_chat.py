@@ -9,7 +9,8 @@ message_id), and written with the span of the loss mask.
 
 Template: ``<|turn|>role\\ntext<|end|>\\n``. In roles and texts a backslash is put behind every
 ``<``, ``[`` and ``\\``, which takes apart every control string (``<|end|>``, ``</s>``,
-``[INST]``) and is undone by dropping the backslash behind these characters.
+``[INST]``) and is undone by dropping the backslash behind these characters. A line feed in a
+role is written ``<n``, which no escaped text contains.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from forgeatlas.llm.common import store, table
 
 TURN, END = "<|turn|>", "<|end|>\n"
 LEARNED_ROLE = "assistant"
+ROLE_BREAK = "<n"
 _ESCAPED = re.compile(r"([<\[\\])\\")
 _SEGMENT = re.compile(re.escape(TURN) + r"(.*?)\n(.*)" + re.escape(END), re.S)
 
@@ -39,6 +41,14 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit(ROLE_BREAK))
+
+
+def unescape_role(role: str) -> str:
+    return unescape(role.replace(ROLE_BREAK, "\n"))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """``conv_id, turn, message_id, role, text`` of every message.
 
@@ -68,7 +78,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, message_id, segment, loss_start, loss_stop``; the mask (code points in
     the segment) is empty unless the role is learned."""
-    head = F.concat(F.lit(TURN), escape(F.regexp_replace("role", "\n", " ")), F.lit("\n"))
+    head = F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     learned = F.col("role") == LEARNED_ROLE
     start = F.length(head).cast("long")
@@ -85,7 +95,7 @@ def parse_segment(segment: str) -> tuple[str, str]:
     found = _SEGMENT.fullmatch(segment)
     if found is None:
         raise ValueError("not a segment of this template")
-    return unescape(found[1]), unescape(found[2])
+    return unescape_role(found[1]), unescape(found[2])
 
 
 def digests(segments: DataFrame) -> DataFrame:
@@ -141,18 +151,34 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """The event log of finished messages (``conv_id, turn, role, text``): every message
-    streams in as two deltas. Equal rows stay messages of their own."""
+    """The event log of finished messages (``conv_id, turn, role, text``), as a chat service
+    would have written it. Equal rows stay messages of their own.
+
+    By a checksum of conversation and turn a message streams in as two deltas; begins with a
+    draft that is regenerated; is written wrongly and then edited; or has a draft, a
+    regeneration and an edit before its last delta. Every log folds to the text of its row."""
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
-    parts = F.array(
-        F.struct(F.lit(0).alias("seq"), F.substr(text, F.lit(1), half).alias("text")),
-        F.struct(F.lit(1).alias("seq"), F.substr(text, half + 1).alias("text")),
+    first, second = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    draft, wrong = F.concat(F.reverse(first), F.lit(" draft")), F.concat(F.lit("wrong "), second)
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(
+            *(F.struct(F.lit(k).alias("seq"), F.lit(kind).alias("kind"), part.alias("text")) for k, (kind, part) in enumerate(events))
+        )
+
+    logs = F.array(
+        log(("delta", first), ("delta", second)),
+        log(("delta", draft), ("regenerate", first), ("delta", second)),
+        log(("delta", wrong), ("delta", draft), ("edit", text)),
+        log(("delta", draft), ("regenerate", wrong), ("edit", first), ("delta", second)),
     )
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    way = F.pmod(F.crc32(key.cast("binary")), F.lit(4)).cast("int")
     marked = rows.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("message_id"))
     return marked.select(
-        "conv_id", "turn", "message_id", "role", F.lit("delta").alias("kind"), F.explode(parts).alias("part")
-    ).select("conv_id", "turn", "message_id", "part.seq", "role", "kind", "part.text")
+        "conv_id", "turn", "message_id", "role", F.explode(F.get(logs, way)).alias("event")
+    ).select("conv_id", "turn", "message_id", "event.seq", "role", "event.kind", "event.text")
 
 
 def format_chats(events: DataFrame) -> DataFrame:

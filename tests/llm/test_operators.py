@@ -332,6 +332,24 @@ def test_chat_folds_events(spark):
         op7_chat.fold_events(bad).collect()
 
 
+def test_chat_logs_of_finished_messages(spark):
+    """Drafts, edits and regenerations fold to the rows they were made from; extra columns,
+    ties, odd roles and long texts change nothing."""
+    rng = random.Random(6)
+    pool = ["</s>[INST] ok [/INST]", "", None, "x", "a\\b<n[c\\", "Ünï😀 <|end|>\n", "y" * 200_000]
+    rows = [(k % 40, rng.choice([k // 40, 3, None]), rng.choice(["user", "assistant", "a\nb", "<n\n\\", None]), rng.choice(pool)) for k in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = op7_chat.events_of(df).selectExpr("*", "'z' AS segment", "1 AS log").repartition(7)
+    kinds = Counter(r["kind"] for r in events.select("kind").collect())
+    assert kinds["edit"] > 100 and kinds["regenerate"] > 100 and kinds["delta"] > 500
+    plain = Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+    folded = op7_chat.fold_events(events)
+    assert Counter((r["conv_id"], r["turn"], r["role"], r["text"]) for r in folded.collect()) == plain
+    again = [op7_chat.parse_segment(r["segment"]) for r in op7_chat.render(folded).collect()]
+    assert Counter(again) == Counter((r or "", x or "") for _, _, r, x in rows)
+    assert sum(r["n_turns"] for r in op7_chat.digests(op7_chat.format_chats(events)).collect()) == 400
+
+
 @pytest.mark.parametrize("rule", op8_tokens.RULES)
 def test_section_tokens(spark, docs, library, rule):
     path = op1_bpe.tokenizer_path()
