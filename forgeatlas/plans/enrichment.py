@@ -13,9 +13,10 @@ from forgeatlas.operators.enrich import (
     with_repo_key,
     write_back,
 )
-from forgeatlas.operators.files import is_test_file
+from forgeatlas.operators.files import is_test_file, list_test_files, listing_lines
 from forgeatlas.operators.lookup import lookup
 from forgeatlas.operators.runners import config_names, evidence_counters, rule_columns
+from forgeatlas.sources.reports import write_listing
 from forgeatlas.sources.tables import read_table
 from forgeatlas.sources.tree import list_tree, read_contents
 
@@ -77,10 +78,22 @@ def unfinished(clean: DataFrame, results: DataFrame) -> DataFrame:
     return left.select(parts[0].alias("host"), parts[1].alias("repo"))
 
 
-def _scan(spark: SparkSession, root: str, excluded, rules, only: DataFrame | None) -> DataFrame:
-    """Results of the trees below ``root``. Only configuration files are opened; all other
-    files are judged by their names."""
-    listing = list_tree(spark, root, only=only)
+def test_file_lines(clean: DataFrame, listing: DataFrame, excluded=None) -> DataFrame:
+    """``repourl, part, line`` of the test files of every listed repository, under
+    the URL of its first registry row, or its key if no row names it."""
+    urls = with_repo_key(clean).filter(F.col("repo_key").isNotNull()).groupBy("repo_key").agg(
+        F.min_by("repourl", "row_id").alias("url")
+    )
+    keyed = listing.withColumn("repo_key", F.concat_ws("/", "host", "repo"))
+    url = F.coalesce("url", "repo_key").alias("repourl")
+    repos = lookup(keyed.select("repo_key").distinct(), urls, "repo_key", spread="repo_key").select("repo_key", url)
+    named = lookup(list_test_files(keyed, excluded).select("repo_key", "rel_path"), repos, "repo_key", spread="rel_path")
+    return listing_lines(named, repos.select("repourl"))
+
+
+def _scan(spark: SparkSession, root: str, excluded, rules, listing: DataFrame) -> DataFrame:
+    """Results of the listed trees. Only configuration files are opened; all other files are
+    judged by their names."""
     named = F.col("name").isin(config_names(rules))
     texts = read_contents(listing.filter(named), root).select(
         "host", "repo", "dir", "name", "content"
@@ -93,20 +106,23 @@ def _scan(spark: SparkSession, root: str, excluded, rules, only: DataFrame | Non
 
 def run_enrichment(spark: SparkSession, clean: DataFrame, root: str, *, excluded=None,
                    rules=None, commits: DataFrame | None = None,
-                   failures: DataFrame | None = None, results: str | None = None) -> DataFrame:
-    """Scan the trees below ``root`` and enrich the registry.
+                   failures: DataFrame | None = None, results: str | None = None,
+                   listing: str | None = None) -> DataFrame:
+    """Scan the trees below ``root`` and enrich the registry. The test files of the scanned
+    repositories are appended to the report at ``listing``.
 
     With ``results``, the path of a table of results, a run opens only the repositories of
     processable rows that have no finished result there (a count and a commit), appends what
     it finds, and enriches with all that is stored. Without it every tree is read.
     """
-    if results is None:
-        return enrich_registry(
-            clean, _scan(spark, root, excluded, rules, None), commits, rules, failures
-        )
-    before = stored_results(spark, results, rules)
+    before = None if results is None else stored_results(spark, results, rules)
+    listed = list_tree(spark, root, only=None if before is None else unfinished(clean, before))
+    if listing is not None:
+        write_listing(test_file_lines(clean, listed, excluded), listing)
+    fresh = _scan(spark, root, excluded, rules, listed)
+    if before is None:
+        return enrich_registry(clean, fresh, commits, rules, failures)
     run = 1 + (before.agg(F.max("run")).first()[0] or 0)
-    fresh = _scan(spark, root, excluded, rules, unfinished(clean, before))
     if commits is None:
         fresh = fresh.withColumn("last_commit_hash", F.lit(None).cast("string"))
     else:

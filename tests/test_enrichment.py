@@ -212,6 +212,12 @@ def test_enrichment_pipeline(spark, tmp_path):
         "No issues detected.", "No issues detected.", "Clone status unknown.",
         "Row is marked as a duplicate of another entry.",
     ]
+    report = tmp_path / "report"
+    run_enrichment(spark, clean, str(tmp_path), listing=str(report))
+    lines = [line for part in sorted(report.glob("part-*")) for line in part.read_text().splitlines()]
+    at = lines.index("Repository URL: https://github.com/o/app")
+    assert len(lines[at + 1 : lines.index("", at)]) == 2  # its two test files, then an empty line
+    assert "Repository URL: gitlab_com/lib" in lines and "test_y.py" in lines  # in no registry row
     failures = rows_of_failures(spark)
     failed = run_enrichment(spark, clean, str(tmp_path), failures=failures).orderBy("row_id").collect()
     assert [r.clone_status for r in failed] == ["successful", "successful", "failed", None]
