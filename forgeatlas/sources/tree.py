@@ -23,6 +23,9 @@ from forgeatlas.session import parallelism, scratch_path
 ENTRY_BUDGET = 50_000
 _ROWS_PER_BATCH = 5_000
 _BYTES_PER_BATCH = 32 << 20
+# Longest content that is read as one value.
+MAX_CONTENT = 1 << 30
+CHUNK_BYTES = 8 << 20
 _WALKED = "kind string, host string, repo string, rel_path string, size long"
 
 
@@ -146,7 +149,7 @@ def list_tree(
     )
 
 
-def _reader(root: str):
+def _reader(root: str, max_bytes: int):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
@@ -154,10 +157,12 @@ def _reader(root: str):
                 text = error = None
                 try:
                     with open(_raw(os.path.join(root, host, repo, rel)), "rb") as file:
-                        data = file.read()
+                        data = file.read(max_bytes + 1)
+                    if len(data) > max_bytes:
+                        raise OverflowError(f"more than {max_bytes} bytes; see read_chunks")
                     held += len(data)
                     text = data.decode("utf-8")
-                except (OSError, UnicodeDecodeError) as problem:
+                except (OSError, UnicodeDecodeError, OverflowError) as problem:
                     error = f"{type(problem).__name__}: {problem}"
                 rows.append((host, repo, rel, text, error))
                 if held >= _BYTES_PER_BATCH:
@@ -169,9 +174,11 @@ def _reader(root: str):
     return read
 
 
-def read_contents(files: DataFrame, root: str, bytes_per_task: int = 512 << 20) -> DataFrame:
-    """A10: whole text of the listed files; a file that is unreadable or not UTF-8 has
-    no content and says why.
+def read_contents(
+    files: DataFrame, root: str, bytes_per_task: int = 512 << 20, *, max_bytes: int = MAX_CONTENT
+) -> DataFrame:
+    """A10: whole text of the listed files; a file that is unreadable, not UTF-8 or longer
+    than one value may be has no content and says why (:func:`read_chunks` reads the last).
 
     Filter the listing first. The paths are spread by hash before any content is
     read, so the files of one large repository do not share a task, and only
@@ -182,7 +189,7 @@ def read_contents(files: DataFrame, root: str, bytes_per_task: int = 512 << 20)
     tasks = max(parallelism(spark), -(-total // bytes_per_task))
     paths = files.select("host", "repo", "rel_path").repartition(tasks, "host", "repo", "rel_path")
     read = paths.mapInPandas(
-        _reader(local_root(root)),
+        _reader(local_root(root), max_bytes),
         "host string, repo string, rel_path string, content string, read_error string",
     )
     # Columns of the listing are rebuilt from the path instead of joined back.
@@ -191,6 +198,75 @@ def read_contents(files: DataFrame, root: str, bytes_per_task: int = 512 << 20)
     )
 
 
+def _chunker(root: str, chunk_bytes: int):
+    columns = ["host", "repo", "rel_path", "offset", "data", "read_error"]
+
+    def chunks(file) -> Iterator[bytes]:
+        held = b""
+        while data := file.read(chunk_bytes - len(held)):
+            held += data
+            if len(held) == chunk_bytes:
+                stop = held.rfind(b"\n") + 1 or chunk_bytes
+                yield held[:stop]
+                held = held[stop:]
+        if held:
+            yield held
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, size = [], 0
+            for host, repo, rel in zip(batch["host"], batch["repo"], batch["rel_path"], strict=True):
+                offset = 0
+                try:
+                    with open(_raw(os.path.join(root, host, repo, rel)), "rb") as file:
+                        for data in chunks(file):
+                            rows.append((host, repo, rel, offset, data, None))
+                            offset += len(data)
+                            size += len(data)
+                            if size >= _BYTES_PER_BATCH:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, size = [], 0
+                except OSError as problem:
+                    rows.append((host, repo, rel, offset, None, f"{type(problem).__name__}: {problem}"))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return read
+
+
+def read_chunks(
+    files: DataFrame, root: str, bytes_per_task: int = 512 << 20, *, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """A10 for files of any size: ``host, repo, rel_path, offset, data, read_error, file_path``.
+
+    A chunk ends behind its last line feed; only a line that is longer than a chunk is cut
+    inside. The chunks of a file, in the order of ``offset``, are its bytes. An empty file has
+    no chunk; one that cannot be read (to its end) has a row that says why."""
+    spark = files.sparkSession
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(parallelism(spark), -(-total // bytes_per_task))
+    paths = files.select("host", "repo", "rel_path").repartition(tasks, "host", "repo", "rel_path")
+    found = paths.mapInPandas(
+        _chunker(local_root(root), chunk_bytes),
+        "host string, repo string, rel_path string, offset long, data binary, read_error string",
+    )
+    return found.withColumn("file_path", F.concat_ws("/", "host", "repo", "rel_path"))
+
+
+def chunk_facts(chunks: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """Per file ``file_path, size, lines``, and for every named pattern whether a line matches
+    it, folded over the chunks: no content is put together again. A file with a chunk that
+    could not be read is left out."""
+    text = F.col("data").cast("string")
+    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    found = [F.bool_or(text.rlike(f"(?m){p}")).alias(name) for name, p in (patterns or {}).items()]
+    open_end = F.max_by((F.expr("right(cast(data as string), 1)") != "\n").cast("long"), "offset")
+    return chunks.groupBy("file_path").agg(
+        F.sum(F.octet_length("data")).cast("long").alias("size"),
+        (F.sum(feeds) + open_end).cast("long").alias("lines"),
+        *found, F.count("read_error").alias("_bad"),
+    ).filter("_bad = 0").drop("_bad")
+
+
 def _digester(root: str, chunk_bytes: int):
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
