@@ -16,7 +16,7 @@ from forgeatlas.plans.cleaning import clean_rows, repositories_per_host
 from forgeatlas.plans.inputs import derive
 from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES, REGISTRY_CLEAN, REGISTRY_COLUMNS
 from forgeatlas.session import cut_lineage, parallelism, scratch_path
-from forgeatlas.sources import api_json, bucket_table, ntriples, reports, tables, tree, tree_source, tsv, turtle
+from forgeatlas.sources import api_json, bucket_table, host_layout, ntriples, reports, tables, tree, tree_source, tsv, turtle
 from forgeatlas.streaming.progress import measure_stream, measured
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +206,17 @@ def per_host_tables(spark, sf_dir):
     )
 
 
+@query
+def host_slice(spark, sf_dir):
+    """The largest and the smallest host, read back from the layout of all hosts."""
+    folder = scratch_path(spark, "hosts")
+    host_layout.write_hosts(_clean(spark, sf_dir), folder, rows_per_file=50)
+    sizes = host_layout.host_files(spark, folder).groupBy("repodomain").agg(F.sum("n").alias("n"))
+    ends = [sizes.orderBy(order, "repodomain").first() for order in (F.desc("n"), F.asc("n"))]
+    found = [host_layout.read_host(spark, folder, end["repodomain"]) for end in ends]
+    return found[0].unionByName(found[1]).select("row_id", "repodomain", "repourl")
+
+
 @query
 def null_host_rows(spark, sf_dir):
     return hosts.null_host_rows(_clean(spark, sf_dir)).select("row_id", "repourl")

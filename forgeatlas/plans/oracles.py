@@ -350,6 +350,9 @@ def build() -> dict[str, str]:
     sql["per_host_tables"] = f"""{CLEAN} select bucket, count(*) as n, cast(sum(row_id) as bigint) as row_ids from (
         select row_id, case when count(*) over (partition by repodomain) >= {hosts.MIN_ROWS} then regexp_replace(repodomain, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g')
         else '{hosts.OTHER}' end as bucket from clean where repodomain is not null) group by bucket"""
+    sql["host_slice"] = f"""{CLEAN}, n as (select repodomain, count(*) as n from clean where repodomain is not null group by repodomain),
+      ends as ((select repodomain from n order by n desc, repodomain limit 1) union all (select repodomain from n order by n, repodomain limit 1))
+      select row_id, repodomain, repourl from ends join clean using (repodomain)"""
     sql["null_host_rows"] = f"{CLEAN} select row_id, repourl from clean where repodomain is null"
 
     # Files and runners ---------------------------------------------------
