@@ -62,7 +62,8 @@ def text_vectors(texts: Iterable[str | None], count: int) -> tuple[np.ndarray, n
         points = np.frombuffer("".join(framed).encode("utf-32-le"), "<u4")
         code = letter_codes()[points]
         row = np.repeat(np.arange(len(framed)), size)
-        keep = np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]
+        # Runs without a letter shrink to one place, but never over the end of a text.
+        keep = np.r_[True, (code[1:] != 0) | (code[:-1] != 0) | (row[1:] != row[:-1])]
         code, row = code[keep].astype(np.int32), row[keep]
         np.add.at(letters, where, np.bincount(row, code != 0, len(framed)).astype(np.int64))
         same = row[2:] == row[:-2]
