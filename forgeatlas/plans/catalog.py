@@ -628,7 +628,9 @@ def stream_progress(spark, sf_dir):
     """Two runs of the stream: all files, then all again, of which some have changed."""
     base = scratch_path(spark, "stream")
     manifests = f"{base}/manifests"
-    files_ = _sources(spark, sf_dir).select("file_path", "content")
+    # A manifest per input split, but not more than some per core: the number of batches, each
+    # with a cost of its own, does not follow how small the splits are.
+    files_ = _sources(spark, sf_dir).select("file_path", "content").coalesce(4 * parallelism(spark))
     number = F.regexp_extract("file_path", "[0-9]+", 0).cast("long")
     more = F.when(number % 7 == 3, F.concat("content", F.lit("x = 1\n"))).otherwise(F.col("content"))
     for listed in (files_, files_.withColumn("content", more)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -14,37 +15,54 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from forgeatlas.operators.content_metrics import DIGEST, Reader, contents_of, listing, measure_listed
 from forgeatlas.schemas import CODE_METRICS, MEASURED_CONTENT
-from forgeatlas.session import scratch_path
+from forgeatlas.session import parallelism, scratch_path
 from forgeatlas.sources.tables import read_table
 
 MANIFEST = "file_path string, content string"
 PATHS_ONLY = f"file_path string, {DIGEST} string"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 KEEP_SECONDS = 90 * 24 * 3600
+# Groups of paths in the state; a checkpoint is bound to the number. A batch reads and writes
+# the entries of the buckets that its paths fall into.
+STATE_BUCKETS = 1024
+# Every partition of the state is loaded and stored by every batch: a few per core are enough.
+STATE_PARTS = 2
 _STORED = T.StructType([*MEASURED_CONTENT.fields, T.StructField("batch_id", T.LongType())])
 _CHANGED = f"file_path string, {DIGEST} string, manifest string"
 
 
 def _changes(keep_ms: int):
     """Passes a file when it is new, when its digest is not the last one, or when it was not
-    listed for the time that state is kept."""
+    listed for the time that state is kept.
+
+    The paths of a bucket share a state, ``{path: [digest, seen]}``: a group costs much more
+    than an entry. Every entry has its own time and leaves when that is over."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        kept = json.loads(state.get[0]) if state.exists else {}
+        newest: dict[str, tuple] = {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for path, *row in zip(frame["file_path"], frame["listed"], frame["manifest"], frame[DIGEST], strict=True):
+                    row = (row[0], row[1], row[2] or "")
+                    if path not in newest or row > newest[path]:
+                        newest[path] = row
+        passed = []
+        kept = {path: entry for path, entry in kept.items() if now - entry[1] <= keep_ms}
+        for path, (_, manifest, digest) in newest.items():
+            if path not in kept or kept[path][0] != digest:
+                passed.append((path, digest or None, manifest))
+            kept[path] = [digest, now]
+        if passed:
+            yield pd.DataFrame(passed, columns=["file_path", DIGEST, "manifest"])
+        if not kept:
             state.remove()
             return
-        now = state.getCurrentProcessingTimeMs()
-        newest = None
-        for frame in frames:
-            for digest, manifest, listed in zip(frame[DIGEST], frame["manifest"], frame["listed"], strict=True):
-                row = (listed, manifest, digest or "")
-                newest = row if newest is None else max(newest, row)
-        _, manifest, digest = newest
-        last, seen = state.get if state.exists else (None, 0)
-        if last != digest or now - seen > keep_ms:
-            yield pd.DataFrame({"file_path": [key[0]], DIGEST: [digest or None], "manifest": [manifest]})
-        state.update((digest, now))
-        state.setTimeoutDuration(keep_ms)
+        state.update((json.dumps(kept, ensure_ascii=False),))
+        oldest = min(seen for _, seen in kept.values())
+        state.setTimeoutDuration(max(1, oldest + keep_ms - now))
 
     return step
 
@@ -76,15 +94,16 @@ def measure_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # One evaluation: the state of a batch is locked by the job that updates it.
-        folder = scratch_path(batch.sparkSession, "changed")
+        # One evaluation: the state of a batch is locked by the job that updates it. What follows
+        # runs in the caller's session; that of a stream has no adaptive execution, so that a
+        # batch of any size would take all shuffle partitions at every step.
+        folder = scratch_path(spark, "changed")
         batch.write.parquet(folder)
-        changed = batch.sparkSession.read.schema(_CHANGED).parquet(folder)
+        changed = spark.read.schema(_CHANGED).parquet(folder)
         reader = read
         if reader is None:
             names = [unquote(r["manifest"]) for r in changed.select("manifest").distinct().collect()]
-            session = batch.sparkSession
-            rows = session.read.schema(MANIFEST).parquet(*names) if names else session.createDataFrame([], MANIFEST)
+            rows = spark.read.schema(MANIFEST).parquet(*names) if names else spark.createDataFrame([], MANIFEST)
             reader = contents_of(rows)
         measured_ = measure_listed(changed, reader)
         measured_.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
@@ -103,8 +122,9 @@ def measure_stream(
     if done is not None:
         keys = ["file_path", *([DIGEST] if DIGEST in done.columns else [])]
         listed = listed.join(done.select(keys).distinct(), keys, "left_anti")
-    passed = listed.groupBy("file_path").applyInPandasWithState(
-        _changes(int(keep_seconds * 1000)), _CHANGED, f"{DIGEST} string, seen long", "update",
+    bucket = F.pmod(F.xxhash64("file_path"), F.lit(STATE_BUCKETS)).alias("bucket")
+    passed = listed.select(bucket, *listed.columns).groupBy("bucket").applyInPandasWithState(
+        _changes(int(keep_seconds * 1000)), _CHANGED, "entries string", "update",
         GroupStateTimeout.ProcessingTimeTimeout,
     )
     writer = (
@@ -113,14 +133,18 @@ def measure_stream(
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
     )
-    # A stream takes over the settings at its start. State that can time out would otherwise
-    # ask for one empty batch after the other, and a run would not end.
-    before = spark.conf.get(_EMPTY_BATCHES)
-    spark.conf.set(_EMPTY_BATCHES, "false")
+    # A stream takes over the settings at its start; a checkpoint keeps its partitions. State that
+    # can time out would otherwise ask for one empty batch after the other, and a run would not end.
+    parts = min(int(spark.conf.get(_PARTITIONS)), STATE_PARTS * parallelism(spark))
+    wanted = {_EMPTY_BATCHES: "false", _PARTITIONS: str(parts)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         return writer.start()
     finally:
-        spark.conf.set(_EMPTY_BATCHES, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def measured(spark: SparkSession, target: str, *, history: bool = False) -> DataFrame:

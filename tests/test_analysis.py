@@ -1,6 +1,7 @@
 import os
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from forgeatlas.plans.analysis import current_metrics, run_labelling, run_metric
 from forgeatlas.schemas import CODE_METRICS, GUESSED_LANGUAGES
 from forgeatlas.sources import api_json, tables
 from forgeatlas.sources.tree import digest_files, list_tree, read_contents
+from forgeatlas.streaming import progress
 from forgeatlas.streaming.progress import measure_stream, measured
 
 TEST_CLASS = """
@@ -204,6 +206,56 @@ def test_stream_measures_changes_and_forgets_old_paths(spark, tmp_path):
     assert len(history()) == 6 and history()[-3:-1] == [("b.py", 1), ("b.py", 1)]
 
 
+def test_stream_state_costs_by_buckets_and_cores_not_by_paths_and_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(progress, "STATE_BUCKETS", 7)
+    manifests, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, "40")
+    try:
+        for turn in range(3):  # every fifth file changes, and changes back
+            rows = [(f"f{k}.py", "x = 1\n" * (1 + (k % 5 == 0 and turn == 1))) for k in range(300)]
+            _append(spark, manifests, [*rows, (f"new{turn}.py", None)])
+            query = measure_stream(spark, manifests, target, checkpoint)
+            query.awaitTermination()
+            state = query.lastProgress["stateOperators"][0]
+            assert state["numRowsTotal"] == 7 and state["numShufflePartitions"] <= 2 * spark.sparkContext.defaultParallelism
+            assert spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, before)
+    found = sorted((r.file_path, r.batch_id, r.lines_of_code) for r in measured(spark, target, history=True).collect())
+    wanted = [(f"f{k}.py", 0, 1) for k in range(300)] + [(f"f{k}.py", t, 3 - t) for k in range(0, 300, 5) for t in (1, 2)]
+    assert found == sorted(wanted + [(f"new{t}.py", t, -1) for t in range(3)])
+
+
+def test_stream_entries_of_a_bucket_expire_alone():
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):
+            self.due = self.now + ms
+
+    state, step = State(), progress._changes(100)
+
+    def at(now, *paths, late=False):
+        state.now, state.hasTimedOut = now, late
+        rows = pd.DataFrame({"file_path": list(paths), "content_digest": "d", "manifest": "m", "listed": now})
+        return [p for frame in step((0,), iter([] if late else [rows]), state) for p in frame["file_path"]]
+
+    assert at(0, "a") == ["a"] and at(60, "b") == ["b"] and state.due == 100
+    assert at(101, late=True) == [] and state.exists and state.due == 160
+    assert at(110, "a", "b") == ["a"]
+    assert at(211, late=True) == [] and not state.exists
+
+
 def test_stream_replays_a_batch_into_its_own_folder(spark, tmp_path):
     """A batch that failed after its write runs again with the same rows."""
     manifests, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
