@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgeatlas.operators.runners import RunnerRules, rule_matches
+from forgeatlas.session import parallelism
 
 # Up to so many rules of a kind become columns.
 COMPILED_RULES = 50
 # A block of rules holds at most so many characters of pattern and name.
 BLOCK_CHARS = 4 << 20
+TASKS_PER_CORE = 4
+_SHOWN = ("host", "repo", "dir", "name")
 _SPECIAL = set("\\^$.|?*+()[]{}")
 
 
@@ -150,7 +153,7 @@ def _candidates(files: DataFrame, column: str, rules: list[tuple[str, str, str]]
                     names=[*kept, "runner", "pattern"],
                 )
 
-    kept = ["host", "repo", "dir", "name"]
+    kept = list(_SHOWN)
     kinds = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in kept)
     wanted = files.select(*kept, *([column] if column not in kept else []))
     return wanted.mapInArrow(run, f"{kinds}, runner string, pattern string")
@@ -183,6 +186,14 @@ def match_rules(files: DataFrame, kind: str, rules: list[RunnerRules], *, compil
         config = files.sparkSession.createDataFrame(names or [("", "")], "runner string, name string")
         files = files.join(F.broadcast(config.select("name").distinct()), "name", "left_semi")  # as long as the rules
         checked = None
+    # Rows are told apart by what is shown of them. Where the rules look at nothing else, equal
+    # files are dropped before the rules: each pair then comes once, and no task holds pairs to
+    # compare them.
+    alone = column in _SHOWN
+    if alone:
+        # A file is short and its pairs are many: the bytes of the files do not tell the work.
+        tasks = TASKS_PER_CORE * parallelism(files.sparkSession)
+        files = files.select(*_SHOWN).distinct().repartition(tasks, *_SHOWN)
     # Each block of rules is one pass over the files.
     found = None
     for block in _blocks([(r, p, literal(p)) for r, p in pairs]):
@@ -192,4 +203,5 @@ def match_rules(files: DataFrame, kind: str, rules: list[RunnerRules], *, compil
         return found.join(F.broadcast(config), ["runner", "name"], "left_semi").select(
             "host", "repo", "dir", "name", "runner", "pattern"
         ).distinct()
-    return found.filter(checked).distinct()
+    found = found.filter(checked)
+    return found if alone else found.distinct()

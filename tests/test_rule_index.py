@@ -71,3 +71,16 @@ def test_ten_thousand_rules_in_blocks(spark, monkeypatch):
     assert {(r["name"], r["pattern"]) for r in found.collect()} == plain and plain
     plan = found._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_equal_files_are_dropped_before_the_rules(spark):
+    rows = [("h", r, "d", n, k) for r in ("r", None) for n in ("abc.py", "abd.py", "fabc", None) for k in range(5)]
+    df = spark.createDataFrame(rows, "host string, repo string, dir string, name string, row_id int").repartition(3)
+    rules = [RunnerRules(f"x{k}", file_patterns=(".*ab", "[d-e]?.?abc", ".*", "(a|d).*")) for k in range(2)]
+    found = rule_index.match_rules(df, "file_patterns", rules, compiled=0)
+    plain = rule_matches(df, "file_patterns", rules).distinct()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+    # Pairs of file and rule meet in no aggregation.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")] and "Aggregate" in plan
