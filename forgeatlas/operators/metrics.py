@@ -10,13 +10,15 @@ import ast
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from forgeatlas.schemas import CODE_METRICS
 
 NOT_FOUND = -1
+FILES_AT_ONCE = 64
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
 _WITHS = (ast.With, ast.AsyncWith)
@@ -111,15 +113,18 @@ def file_metrics(file_path: str, content: str | None) -> dict:
     }
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Few contents at a time are Python objects, however many rows a batch has.
     for batch in batches:
-        rows = [file_metrics(p, c) for p, c in zip(batch["file_path"], batch["content"])]
-        yield pd.DataFrame(rows, columns=CODE_METRICS.names)
+        for at in range(0, batch.num_rows, FILES_AT_ONCE):
+            paths, contents = (column.to_pylist() for column in batch.slice(at, FILES_AT_ONCE).columns)
+            rows = [file_metrics(p, c) for p, c in zip(paths, contents, strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(CODE_METRICS))
 
 
 def code_metrics(files: DataFrame) -> DataFrame:
     """J5 over ``(file_path, content)``."""
-    return files.select("file_path", "content").mapInPandas(_measure, CODE_METRICS)
+    return files.select("file_path", "content").mapInArrow(_measure, CODE_METRICS)
 
 
 def python_files(files: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 import os
 import time
+import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,6 +302,20 @@ def test_no_content_moves_before_the_state(spark, tmp_path):
     assert "content#" not in below[: below.index("sha2")].replace("content_digest#", "")
 
 
+def test_few_contents_are_python_objects_at_a_time():
+    rows = [(f"f{k}.py", f"x{k} = 1\n" + "# " + "y" * 20_000) for k in range(1500)] + [("n.py", None), ("t.txt", "x = 1")]
+    batch = pa.RecordBatch.from_pylist([{"file_path": p, "content": c} for p, c in rows])
+    plain = [metrics.file_metrics(p, c) for p, c in rows]
+    tracemalloc.start()
+    try:
+        found = [r for part in metrics._measure(iter([batch])) for r in part.select(["file_path", "lines_of_code"]).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [{k: r[k] for k in ("file_path", "lines_of_code")} for r in plain]
+    assert peak < 8 << 20  # the contents take 30 MB
+
+
 def test_every_different_content_is_parsed_once(spark, tmp_path):
     rows = [(f"{k}.py", f"def test_{k % 3}(): pass") for k in range(30)] + [(f"e{k}.py", "") for k in range(20)]
     rows += [("n.py", None), ("t.txt", "def test_0(): pass"), ("bad.py", "def ("), ("bad2.py", "def (")]
