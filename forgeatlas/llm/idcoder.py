@@ -89,6 +89,15 @@ class Lanes:
         width = flat[at + 1] - low
         return ((low - self.base[:n]) << GROUP) + (ids & ((1 << GROUP) - 1)) * width, width
 
+    def group_of(self, units: np.ndarray, n: int) -> np.ndarray:
+        """The order-0 group that holds a place, by halves of the lane's own shares."""
+        flat, at = self.cumulative.ravel(), self.cum_base[:n].copy()
+        half = GROUPS >> 1
+        while half:
+            at += half * (flat[at + half] <= units)
+            half >>= 1
+        return at - self.cum_base[:n]
+
     def learn(self, ids: np.ndarray, n: int, t: int) -> None:
         self.count.ravel()[self.count_base[:n] + (ids >> GROUP)] += GAIN
         for table, worth, slot, guess, level in zip(
@@ -178,8 +187,7 @@ def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
             for guess, extra in ((lower, less), (upper, more)):
                 start, _ = state.share(guess, n)
                 value = np.minimum(value, np.maximum(start, value - extra))
-            unit = (value >> GROUP) + state.base[:n]
-            group = np.searchsorted(state.cumulative[:n].ravel(), unit, "right") - 1 - state.cum_base[:n]
+            group = state.group_of((value >> GROUP) + state.base[:n], n)
             inside = value - ((state.cumulative.ravel()[state.cum_base[:n] + group] - state.base[:n]) << GROUP)
             first = group << GROUP
             start, width = state.share(first, n)

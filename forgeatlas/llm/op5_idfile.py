@@ -56,9 +56,11 @@ class LibraryEncoder:
 
     def _unit(self, unit: str) -> bytes:
         letters, tokenize = self.letters, self.model.tokenize
-        words = WORD.findall(unit)
-        found = (t.id for w in words for t in tokenize("".join(map(letters.__getitem__, w.encode()))))
-        return np.fromiter(found, "<u4").tobytes()
+        # ASCII letters, with or without a space before them, are one word.
+        solid = unit[1:] if unit.startswith(" ") else unit
+        words = [unit] if solid.isascii() and solid.isalpha() else WORD.findall(unit)
+        found = [t.id for w in words for t in tokenize("".join(map(letters.__getitem__, w.encode())))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, text: str | None) -> bytes:
         if not text:

@@ -560,3 +560,22 @@ def test_queries_on_tables(spark, library):
     connection.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
     wanted = connection.execute(catalog.oracle_sql()["op7_chat"]).fetchall()
     assert sorted(map(tuple, queries["op7_chat"](spark, folder).collect())) == sorted(wanted)
+
+
+def test_groups_are_found_in_the_lane_of_a_place():
+    rng = np.random.default_rng(5)
+    state = idcoder.Lanes(40)
+    state.count += rng.integers(0, 50, state.count.shape) * (rng.random(state.count.shape) < 0.02)
+    state.refresh(40)
+    for n in (40, 3):
+        ends = state.cumulative[:n, -1] - state.base[:n]
+        for inside in (np.zeros(n, np.int64), ends - 1, rng.integers(0, ends), state.cumulative[:n, 500] - state.base[:n]):
+            plain = [np.searchsorted(state.cumulative[k] - state.base[k], inside[k], "right") - 1 for k in range(n)]
+            assert state.group_of(inside + state.base[:n], n).tolist() == plain
+
+
+def test_words_of_the_id_files_are_those_of_the_library():
+    coder = op5_idfile.LibraryEncoder(op1_bpe.tokenizer_path())
+    units = ["a", "Word", "don't", "x1", "1x", "caf\u00e9", "a_b", "", "ABC" * 40, "\u00b5", "\u0130", "a\tb", "a  b", " a", "s't"]
+    for text in [*units, *(" " + u for u in units), " ".join(units)]:
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
