@@ -1,17 +1,20 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
+"""Context-mixing range coder for token ids, many blocks at a time.
 
-Ids are cut into blocks of ``BLOCK`` ids. Every block starts from the same initial model and
-carries its own checksum, so it can be read alone. Inside a block three predictors are mixed
-into one distribution over all ids:
+Ids are cut into blocks of ``BLOCK`` ids, and up to ``LANES`` blocks make a batch. A block
+carries its own checksum and can be read alone with the head of its batch. Three predictors
+are mixed into one distribution over all ids:
 
-- order 0: how often each group of 64 neighbouring ids occurred (a group's share is spread
-  evenly over its ids; the shares are brought up to date at fixed places);
-- order 1 and order 2: the id that last followed the same one or two ids (small tables),
-  with a confidence that counts hits in a row. What a confidence is worth is learned in the
-  block and gives the weight of the predictor.
+- order 0: how often each id occurs in the batch (written in the head, scaled to ``SHARES``);
+- order 1 and order 2: the id that last followed the same one or two ids in the block (small
+  tables), with a confidence that counts hits in a row. What a confidence is worth in the
+  batch is written in the head and gives the weight of the predictor.
 
 The blocks of a batch are the lanes of numpy arrays: step t codes id t of every block at
-once. The coder is a carry-free range coder on 64 bits that gives out words of 16 bits.
+once. The range coder works on whole numbers below 2^53 in float64, where products, sums and
+rounded-down quotients are exact, and gives out words of 24 bits; a carry is added to the
+words before it when a batch is done.
+
+``decode_first`` reads the blocks of version 1, which learned order 0 inside every block.
 """
 
 from __future__ import annotations
@@ -22,24 +25,271 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 4096
+LANES = 2048
 ALPHABET = 1 << 16
+SLOTS = 512
+LEVELS = 8
+# Sum of the order-0 shares; a predictor weighs at most ``ODDS_MOST`` times as much.
+SHARES = 1 << 18
+ODDS_MOST = 30
+# Ranges lie in [BOTTOM, BOTTOM * WORD).
+WORD = float(1 << 24)
+BOTTOM = float(1 << 28)
+# Steps whose intervals are found together.
+STRETCH = 16
+_BATCH = struct.Struct("<III")
+_BLOCK = struct.Struct("<III")
+# Confidence after an id, by what it was; the last entry is for a miss.
+_NEXT = np.array([1, 2, 3, 4, 5, 6, 7, 7, 1], np.int32)
+
+
+class Model:
+    """What the batch head says: order-0 shares and the weight of every confidence."""
+
+    def __init__(self, ids: np.ndarray, shares: np.ndarray, weights: np.ndarray):
+        self.width = np.zeros(ALPHABET)
+        self.width[ids] = shares
+        self.start = np.cumsum(self.width) - self.width
+        self.weights = weights.astype(np.float64)
+        self.ids, self.shares = ids, shares
+
+    def head(self, number: int) -> bytes:
+        steps = np.diff(self.ids, prepend=0).astype("<u2")
+        table = zlib.compress(steps.tobytes() + self.shares.astype("<u4").tobytes(), 6)
+        table = self.weights.astype("<u4").tobytes() + table
+        return _BATCH.pack(number, len(table), zlib.crc32(table, number)) + table
+
+    @classmethod
+    def read(cls, data: memoryview, at: int) -> tuple[Model, int, int]:
+        """Model, number of ids and end of the head at a place."""
+        number, length, check = _BATCH.unpack_from(data, at)
+        at += _BATCH.size
+        table = bytes(data[at : at + length])
+        if zlib.crc32(table, number) != check:
+            raise ValueError("checksum of a batch head differs")
+        weights = np.frombuffer(table, "<u4", 2 * LEVELS).reshape(2, LEVELS)
+        raw = zlib.decompress(table[weights.nbytes :])
+        known = len(raw) // 6
+        ids = np.cumsum(np.frombuffer(raw, "<u2", known).astype(np.int64))
+        return cls(ids, np.frombuffer(raw, "<u4", known, 2 * known), weights), number, at + length
+
+
+def _shares(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, and shares of at least 1 that sum to ``SHARES``."""
+    count = np.bincount(part, minlength=ALPHABET)
+    ids = np.flatnonzero(count)
+    count = count[ids]
+    # Ids below one share take one; the others divide what is left.
+    rare = count * SHARES < len(part)
+    rest, whole = SHARES - int(rare.sum()), max(1, int(count[~rare].sum()))
+    shares = np.where(rare, 1, np.maximum(1, count * rest // whole))
+    order = np.argsort(-count, kind="stable")
+    gap = SHARES - int(shares.sum())
+    while gap:
+        if gap > 0:
+            shares[order[0]] += gap
+            break
+        some = order[shares[order] > 1][:-gap]
+        shares[some] -= 1
+        gap += len(some)
+    return ids, shares
+
+
+class _Followers:
+    """Tables of orders 1 and 2 of some lanes. An entry is id * 8 + confidence."""
+
+    def __init__(self, lanes: int):
+        self.tables = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
+        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
+        self.one = self.two = np.zeros(lanes, np.int64)
+
+    def ask(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of both orders for the next id of the first ``n`` lanes."""
+        one, two, base = self.one[:n], self.two[:n], self.base[:n]
+        self.places = (one & (SLOTS - 1)) + base, ((one * 37 + two * 101) & (SLOTS - 1)) + base
+        return self.tables[0].take(self.places[0]), self.tables[1].take(self.places[1])
+
+    def learn(self, ids: np.ndarray, scaled: np.ndarray, differ: tuple[np.ndarray, np.ndarray]) -> None:
+        """``scaled`` is id * 8, ``differ`` its exclusive or with the entries."""
+        for table, place, other in zip(self.tables, self.places, differ, strict=True):
+            table[place] = scaled + _NEXT.take(np.minimum(other, LEVELS))
+        self.two, self.one = self.one, ids
+
+
+def _weights(entries: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Weight of each confidence of a predictor: its odds of a hit, in order-0 shares."""
+    asked = np.bincount((entries & (LEVELS - 1)).ravel(), minlength=LEVELS)
+    hit = np.bincount(differ[differ < LEVELS], minlength=LEVELS)
+    odds = np.minimum((hit + 0.2) / (asked - hit + 0.8), ODDS_MOST)
+    odds[0] = 0  # nothing was seen there
+    return (odds * SHARES).astype(np.int64)
+
+
+def _lanes_at(sizes: np.ndarray) -> np.ndarray:
+    """Number of lanes of every step; all blocks but the last are equally long."""
+    return len(sizes) - (np.arange(int(sizes[0])) >= sizes[-1])
+
+
+def _encode_batch(part: np.ndarray) -> bytes:
+    lanes = -(-len(part) // BLOCK)
+    sizes = np.minimum(BLOCK, len(part) - BLOCK * np.arange(lanes))
+    square = np.zeros((lanes, BLOCK), np.int64)
+    square.ravel()[: len(part)] = part
+    ids = np.ascontiguousarray(square.T[: int(sizes[0])])
+    steps, active = len(ids), _lanes_at(sizes)
+    entries = np.zeros((2, steps, lanes), np.int32)
+    differ = np.zeros((2, steps, lanes), np.int32)
+    scaled = (ids << 3).astype(np.int32)
+    followers = _Followers(lanes)
+    for t in range(steps):
+        n = active[t]
+        found = followers.ask(n)
+        for k in range(2):
+            entries[k, t, :n] = found[k]
+            np.bitwise_xor(found[k], scaled[t, :n], out=differ[k, t, :n])
+        followers.learn(ids[t, :n], scaled[t, :n], (differ[0, t, :n], differ[1, t, :n]))
+    # Every fourth step tells what the confidences are worth.
+    weights = np.stack([_weights(entries[k, ::4], differ[k, ::4]) for k in range(2)])
+    model = Model(*_shares(part), weights)
+
+    low, size = np.zeros(lanes), np.full(lanes, BOTTOM * WORD)
+    words = np.zeros((lanes, int(sizes[0]) + 2), np.uint32)
+    flat, at = words.ravel(), np.arange(lanes, dtype=np.int64) * words.shape[1]
+    for first in range(0, steps, STRETCH):
+        some = slice(first, min(first + STRETCH, steps))
+        start, width = model.start.take(ids[some]), model.width.take(ids[some])
+        whole = np.full(start.shape, float(SHARES))
+        for k in range(2):
+            extra = model.weights[k].take(entries[k, some] & (LEVELS - 1))
+            start += extra * (entries[k, some] < scaled[some])
+            width += extra * (differ[k, some] < LEVELS)
+            whole += extra
+        for t in range(first, some.stop):
+            n, k = active[t], t - first
+            step = np.floor(size[:n] / whole[k, :n])
+            low[:n] += step * start[k, :n]
+            np.multiply(step, width[k, :n], out=size[:n])
+            due = (size[:n] < BOTTOM).nonzero()[0]
+            if len(due):
+                place, value = at[due], low[due]
+                word = np.floor(value * (1 / BOTTOM))
+                flat[place] = word
+                at[due] = place + 1
+                low[due] = (value - word * BOTTOM) * WORD
+                size[due] *= WORD
+    # The next whole word above ``low`` lies in the range; what follows it reads as zero.
+    flat[at] = np.ceil(low / BOTTOM)
+    lengths = at - np.arange(lanes, dtype=np.int64) * words.shape[1] + 1
+    while (over := words >> 24).any():
+        words &= 0xFFFFFF
+        words[:, :-1] += over[:, 1:]
+    packed = words.astype("<u4").view(np.uint8).reshape(lanes, -1, 4)[:, :, :3]
+    out = [model.head(len(part))]
+    for k in range(lanes):
+        check = zlib.crc32(part[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes())
+        payload = packed[k, : lengths[k]].tobytes()
+        out += _BLOCK.pack(int(sizes[k]), check, len(payload)), payload
+    return b"".join(out)
+
+
+def _decode_lanes(model: Model, payloads: list[memoryview], sizes: np.ndarray) -> np.ndarray:
+    lanes, steps, active = len(sizes), int(sizes[0]), _lanes_at(sizes)
+    longest = max(map(len, payloads)) // 3 + 4
+    padded = np.zeros((lanes, longest, 4), np.uint8)
+    for k, payload in enumerate(payloads):
+        some = len(payload) // 3
+        padded[k, :some, :3] = np.frombuffer(payload, np.uint8, 3 * some).reshape(some, 3)
+    words = padded.view("<u4")[:, :, 0]
+    # A range has 52 bits, which is two words and 4 bits of the third.
+    code = words[:, 0] * BOTTOM + words[:, 1] * float(1 << 4) + (words[:, 2] >> 20)
+    follow = ((words[:, 2:-1] << 4) & 0xFFFFFF | words[:, 3:] >> 20).astype(np.float64)
+    flat, at = follow.ravel(), np.arange(lanes, dtype=np.int64) * follow.shape[1]
+    last = len(flat) - 1
+    size = np.full(lanes, BOTTOM * WORD)
+    owner = np.repeat(model.ids, model.shares)
+    width_of, start_of, (first, second) = model.width, model.start, model.weights
+    followers, out = _Followers(lanes), np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        n = active[t]
+        one, two = followers.ask(n)
+        extra_one, extra_two = first.take(one & (LEVELS - 1)), second.take(two & (LEVELS - 1))
+        extra = extra_one + extra_two
+        whole = extra + SHARES
+        step = np.floor(size[:n] / whole)
+        value = np.floor(code[:n] / step)
+        np.minimum(value, whole - 1, out=value)
+        # Take the weights of the two guesses out of the value, the lower guess first.
+        extra_low = np.where(one <= two, extra_one, extra_two)
+        for entry, weight in ((np.minimum(one, two), extra_low), (np.maximum(one, two), extra - extra_low)):
+            np.minimum(value, np.maximum(start_of.take(entry >> 3), value - weight), out=value)
+        ids = owner.take(value.astype(np.int64))
+        out[t, :n] = ids
+        scaled = (ids << 3).astype(np.int32)
+        differ = one ^ scaled, two ^ scaled
+        start = start_of.take(ids)
+        start += extra_one * (one < scaled)
+        start += extra_two * (two < scaled)
+        width = width_of.take(ids)
+        width += extra_one * (differ[0] < LEVELS)
+        width += extra_two * (differ[1] < LEVELS)
+        code[:n] -= step * start
+        np.multiply(step, width, out=size[:n])
+        due = (size[:n] < BOTTOM).nonzero()[0]
+        if len(due):
+            place = at[due]
+            code[due] = code[due] * WORD + flat.take(np.minimum(place, last))
+            at[due] = place + 1
+            size[due] *= WORD
+        followers.learn(ids, scaled, differ)
+    return out
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """Batches of an id sequence: a head, and for each block a head (ids, checksum, bytes) and
+    its payload."""
+    if len(ids) and int(ids.max()) >= ALPHABET:
+        raise ValueError("ids must be below 65536")
+    return b"".join(_encode_batch(ids[at : at + BLOCK * LANES]) for at in range(0, len(ids), BLOCK * LANES))
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Ids of encoded batches; a head or block whose checksum differs is an error."""
+    data, at, out = memoryview(data), 0, []
+    while at < len(data):
+        model, number, at = Model.read(data, at)
+        heads, payloads = [], []
+        for _ in range(-(-number // BLOCK)):
+            heads.append(_BLOCK.unpack_from(data, at))
+            at += _BLOCK.size
+            payloads.append(data[at : at + heads[-1][2]])
+            at += heads[-1][2]
+        sizes = np.array([head[0] for head in heads])
+        if (sizes != np.minimum(BLOCK, number - BLOCK * np.arange(len(sizes)))).any():
+            raise ValueError("blocks of a batch differ from its head")
+        ids = np.ascontiguousarray(_decode_lanes(model, payloads, sizes).T.astype("<u4"))
+        for k, (size, check, _) in enumerate(heads):
+            if zlib.crc32(ids[k, :size]) != check:
+                raise ValueError("checksum of a block differs")
+        out.append(ids.ravel()[:number])
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
+
+
+# Version 1: every block learned order 0 itself, by groups of 64 ids whose shares were brought
+# up to date at fixed places; a carry-free range coder on 64 bits with words of 16 bits.
+FIRST_LANES = 4096
 GROUP = 6
 GROUPS = ALPHABET >> GROUP
 GAIN = 12
-SLOTS = 512
-LEVELS = 8
 TOP = np.uint64(1 << 48)
-BOTTOM = np.uint64(1 << 32)
+CUT = np.uint64(1 << 32)
 _U = np.uint64
-# Places inside a block at which the shares of order 0 are brought up to date.
 REFRESH = {8, 16, 32, 64, 96} | set(range(128, BLOCK, 64))
 # Weight (in 1/256 of the order-0 total) for a chance in 1/256.
 ODDS = np.array([min(256 * 63, 256 * p // (256 - p)) for p in range(256)], np.int64)
 
 
 class Lanes:
-    """Model and coder state of some blocks; the first ``n`` lanes are in use."""
+    """Model and coder state of some blocks of version 1; the first ``n`` lanes are in use."""
 
     def __init__(self, lanes: int):
         k = np.arange(GROUPS)
@@ -123,9 +373,9 @@ class Lanes:
         """Lanes that must give out a word now; ranges that straddle are cut first."""
         low, size = self.low[:n], self.range[:n]
         same = (low ^ (low + size)) < TOP
-        short = ~same & (size < BOTTOM)
+        short = ~same & (size < CUT)
         if short.any():
-            size[short] = (~low[short] + _U(1)) & (BOTTOM - _U(1))
+            size[short] = (~low[short] + _U(1)) & (CUT - _U(1))
         due = np.flatnonzero(same | short)
         return due if len(due) else None
 
@@ -134,32 +384,7 @@ class Lanes:
         self.range[due] <<= _U(16)
 
 
-def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Payloads of blocks; ``ids`` is (longest, lanes), lanes by falling size."""
-    lanes = len(sizes)
-    state = Lanes(lanes)
-    words = np.zeros((lanes, int(sizes[0]) * 3 + 8), np.uint16)
-    at = np.zeros(lanes, np.int64)
-    with np.errstate(over="ignore"):
-        for t in range(int(sizes[0])):
-            n = int(np.searchsorted(-sizes, -t, "left"))
-            current = ids[t, :n]
-            state.predict(n)
-            start, width = state.share(current, n)
-            for guess, extra in zip(state.guess, state.extra, strict=True):
-                start += extra * (guess < current)
-                width = width + extra * (guess == current)
-            state.narrow(start, width, state.range[:n] // state.whole.astype(_U), n)
-            while (due := state.full(n)) is not None:
-                words[due, at[due]] = (state.low[due] >> _U(48)).astype(np.uint16)
-                at[due] += 1
-                state.shift(due)
-            state.learn(current, n, t)
-    tail = np.stack([(state.low >> _U(s)).astype(np.uint16) for s in (48, 32, 16, 0)], axis=1)
-    return [words[k, : at[k]].astype("<u2").tobytes() + tail[k].astype("<u2").tobytes() for k in range(lanes)]
-
-
-def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def _decode_first_lanes(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
     lanes = len(sizes)
     state = Lanes(lanes)
     longest = max(map(len, payloads)) // 2 + 4
@@ -206,37 +431,19 @@ def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """Blocks of an id sequence: for each a head (ids, checksum, bytes) and its payload."""
-    if len(ids) and int(ids.max()) >= ALPHABET:
-        raise ValueError("ids must be below 65536")
-    out = []
-    for at in range(0, len(ids), BLOCK * LANES):
-        part = ids[at : at + BLOCK * LANES]
-        lanes = -(-len(part) // BLOCK)
-        sizes = np.minimum(BLOCK, len(part) - BLOCK * np.arange(lanes))
-        square = np.zeros((lanes, BLOCK), np.int64)
-        square.ravel()[: len(part)] = part
-        payloads = _encode_lanes(np.ascontiguousarray(square.T)[: int(sizes[0])], sizes)
-        for k, payload in enumerate(payloads):
-            check = zlib.crc32(part[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes())
-            out.append(struct.pack("<III", int(sizes[k]), check, len(payload)) + payload)
-    return b"".join(out)
-
-
-def decode(data: bytes) -> np.ndarray:
-    """Ids of encoded blocks; a block whose checksum differs is an error."""
+def decode_first(data: bytes) -> np.ndarray:
+    """Ids of blocks of version 1; a block whose checksum differs is an error."""
     heads, at = [], 0
     while at < len(data):
         size, check, length = struct.unpack_from("<III", data, at)
         heads.append((size, check, data[at + 12 : at + 12 + length]))
         at += 12 + length
     out = []
-    for k in range(0, len(heads), LANES):
-        part = heads[k : k + LANES]
+    for k in range(0, len(heads), FIRST_LANES):
+        part = heads[k : k + FIRST_LANES]
         order = sorted(range(len(part)), key=lambda i: -part[i][0])
         sizes = np.array([part[i][0] for i in order])
-        ids = _decode_lanes([part[i][2] for i in order], sizes).T
+        ids = _decode_first_lanes([part[i][2] for i in order], sizes).T
         blocks: list = [None] * len(part)
         for lane, i in enumerate(order):
             blocks[i] = ids[lane, : sizes[lane]].astype("<u4")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,69 +26,138 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forgeatlas.llm import idcoder
-from forgeatlas.llm.bpe import KEPT_WORDS, WORD, byte_letters, chunks, pieces
+from forgeatlas.llm.bpe import KEPT_WORDS, byte_letters, chunks
 from forgeatlas.llm.common import pick, store, table
 from forgeatlas.llm.op1_bpe import tokenizer_path
+from forgeatlas.llm.words import word_starts
 from forgeatlas.session import scratch_path
 
 END_ID = 2
 SEGMENT_IDS = 1 << 23
-MAGIC, VERSION = b"FIDS", 1
+# Bytes of text whose words are cut and numbered together, about.
+STRETCH_BYTES = 1 << 22
+# Ids that one Arrow batch of documents read back holds, about.
+BATCH_IDS = 1 << 20
+MAGIC, VERSION = b"FIDS", 2
 _HEAD = struct.Struct("<4sQQQQ")
 
 
 class LibraryEncoder:
     """The tokenizers library, asked once for every different word.
 
-    A byte-level tokenizer cuts a text into words and encodes every word on its own, so the
-    library's model is called for words that were not met before; the ids of a text are
-    joined from the kept ones (a bounded number of them)."""
+    A byte-level tokenizer cuts a text into words and encodes every word on its own. The words
+    of many texts are cut at once (:mod:`.words`) and numbered by Arrow; the library's model
+    is called for those that were not met before (a bounded number of them is kept), and the
+    ids of the texts are gathered by number."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.plain: dict[str, bytes] = _Words(self._unit)
-        self.spaced: dict[str, bytes] = _Words(lambda unit: self._unit(" " + unit))
-
-    def _unit(self, unit: str) -> bytes:
-        letters, tokenize = self.letters, self.model.tokenize
-        # ASCII letters, with or without a space before them, are one word.
-        solid = unit[1:] if unit.startswith(" ") else unit
-        words = [unit] if solid.isascii() and solid.isalpha() else WORD.findall(unit)
-        found = [t.id for w in words for t in tokenize("".join(map(letters.__getitem__, w.encode())))]
-        return struct.pack(f"<{len(found)}I", *found)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.kept = _Words(self.library.model)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        """Packed ids of one text."""
+        return b"".join(ids.tobytes() for _, ids in self.encode_many(pa.array([text], pa.string())))
+
+    def encode_many(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time, in order: numbers of ids per text, and all ids. Every
+        text is followed by ``end_id``, if one is given."""
+        data, offsets = _bytes_of(texts)
+        end = np.array([] if end_id is None else [end_id], "<u4")
+        alone = np.diff(offsets) > STRETCH_BYTES
+        for token in self.special:
+            alone |= self._with(token.encode(), data, offsets)
+        at = 0
+        while at < len(alone):
+            if alone[at]:
+                ids = np.concatenate([*self._alone(data[offsets[at] : offsets[at + 1]].tobytes().decode()), end])
+                yield np.array([len(ids)], np.int64), ids
+                at += 1
+                continue
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH_BYTES, "right")) - 1)
+            stop = min([stop, len(alone), *(at + np.flatnonzero(alone[at:stop])[:1]).tolist()])
+            yield self._stretch(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at], end)
+            at = stop
+
+    @staticmethod
+    def _with(token: bytes, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that hold the string of a special token."""
+        found = np.zeros(len(offsets) - 1, bool)
+        raw, at = data.tobytes(), -1
+        while (at := raw.find(token, at + 1)) >= 0:
+            k = int(np.searchsorted(offsets, at, "right")) - 1
+            if at + len(token) <= offsets[k + 1]:  # not across two texts
+                found[k] = True
+                at = int(offsets[k + 1]) - 1
+        return found
+
+    def _alone(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of a text with special tokens, or of a long one in stretches."""
         if any(token in text for token in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
+            yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+            return
         for chunk in chunks(text):
-            for kept in (self.plain, self.spaced):
-                if len(kept) > KEPT_WORDS:
-                    kept.clear()
-            plain, spaced = pieces(chunk)
-            out += map(self.plain.__getitem__, plain)
-            out += map(self.spaced.__getitem__, spaced)
-        return b"".join(out)
-
-
-class _Words(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, unit: str) -> bytes:
-        value = self.make(unit)
-        if len(unit) <= 64:
-            self[unit] = value
-        return value
+            raw = np.frombuffer(chunk.encode(), np.uint8)
+            yield self._stretch(raw, np.array([0, len(raw)]), np.zeros(0, "<u4"))[1]
+
+    def _stretch(self, data: np.ndarray, offsets: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = word_starts(data, offsets)
+        edges = np.append(starts, len(data))
+        buffers = [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        number = words.indices.to_numpy()
+        packed = self.kept.all(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        length = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        known = np.concatenate([np.frombuffer(b"".join(packed), "<u4"), end])
+        # The end id is one more word, behind the words of each text.
+        length = np.append(length, len(end))
+        last = np.searchsorted(starts, offsets[1:])
+        number = np.insert(number, last, len(packed))
+        each = length.take(number)
+        stops = np.cumsum(each)
+        place = np.repeat((np.cumsum(length) - length).take(number) - (stops - each), each)
+        place += np.arange(len(place))
+        return np.diff(stops.take(last + np.arange(len(last))), prepend=0), known.take(place)
+
+
+class _Words:
+    """Packed ids of words by the library's model. Two generations are kept: when the younger
+    one is full, it takes the place of the older one, so memory stays bounded and words that
+    are still met stay."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def all(self, words: list[bytes]) -> list[bytes]:
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, words))
+        for k in [k for k, value in enumerate(found) if value is None]:
+            word = words[k]
+            found[k] = value = self.old.get(word) or self._ask(word)
+            if len(word) <= 64:
+                self.young[word] = value
+        return found
+
+    def _ask(self, word: bytes) -> bytes:
+        found = self.tokenize(word.decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in found]).tobytes()
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of some texts, and where each begins (null: empty); an error if they are no UTF-8."""
+    texts.validate(full=True)
+    texts = texts.fill_null("").cast(pa.large_binary())
+    _, where, data = texts.buffers()
+    offsets = np.frombuffer(where, np.int64, len(texts) + 1, 8 * texts.offset) if where else np.zeros(1, np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +165,7 @@ def load(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def pack(counts: list[int], ids: np.ndarray) -> bytes:
+def pack(counts: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     """A segment of documents with the given numbers of ids."""
     blocks = idcoder.encode(ids)
     head = _HEAD.pack(MAGIC, VERSION, len(counts), len(ids), len(blocks))
@@ -105,11 +175,12 @@ def pack(counts: list[int], ids: np.ndarray) -> bytes:
 def unpack(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of ids per document, and all ids."""
     magic, version, documents, number, length = _HEAD.unpack_from(segment)
-    if magic != MAGIC or version != VERSION:
+    if magic != MAGIC or version not in (1, VERSION):
         raise ValueError("not a segment of this format")
     at = _HEAD.size + 8 * documents
     counts = np.frombuffer(segment, "<u8", documents, _HEAD.size)
-    ids = idcoder.decode(segment[at : at + length])
+    decode = idcoder.decode if version == VERSION else idcoder.decode_first
+    ids = decode(segment[at : at + length])
     if len(ids) != number or counts.sum() != number:
         raise ValueError("segment is incomplete")
     return counts, ids
@@ -125,33 +196,37 @@ def write_ids(
     """
     rows = pick(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, file_no, seg_no = load(tokenizer), TaskContext.get().partitionId(), 0
-        keys: list = []
-        held: list[bytes] = []
-        size, key_type = 0, None
+        keys: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, held, size, seg_no
-            segment = pack([len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4"))
-            values = [[file_no], [seg_no], [size], [keys], [segment]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(key_type), pa.binary()]
-            keys, held, size, seg_no = [], [], 0, seg_no + 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(values, types, strict=True)],
-                names=["file_no", "seg_no", "n_ids", "keys", "segment"],
-            )
+            nonlocal keys, counts, held, size, seg_no
+            segment = pack(np.concatenate(counts), np.concatenate(held))
+            own = pa.concat_arrays(keys)
+            values = [
+                pa.array([file_no], pa.int32()), pa.array([seg_no], pa.int32()), pa.array([size], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([segment], pa.binary()),
+            ]
+            keys, counts, held, size, seg_no = [], [], [], 0, seg_no + 1
+            return pa.RecordBatch.from_arrays(values, names=["file_no", "seg_no", "n_ids", "keys", "segment"])
 
         for batch in batches:
-            key_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                some, texts = (batch.column(k).slice(at, 256).to_pylist() for k in range(2))
-                for key, text in zip(some, texts, strict=True):
-                    keys.append(key)
-                    held.append(coder.encode(text) + end)
-                    size += len(held[-1]) // 4
+            row = 0
+            for many, ids in coder.encode_many(batch.column(1), end_id):
+                while len(many):
+                    stops = np.cumsum(many)
+                    # Up to the text that fills the segment.
+                    some = min(len(many), int(np.searchsorted(stops, SEGMENT_IDS - size)) + 1)
+                    keys.append(batch.column(0).slice(row, some))
+                    counts.append(many[:some])
+                    held.append(ids[: stops[some - 1]])
+                    size += int(stops[some - 1])
+                    many, ids, row = many[some:], ids[stops[some - 1] :], row + some
                     if size >= SEGMENT_IDS:
                         yield flush()
         if keys:
@@ -176,19 +251,25 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 counts, ids = unpack(batch.column(3)[k].as_py())
                 stops = np.cumsum(counts.astype(np.int64))
                 starts = stops - counts.astype(np.int64)
-                for at in range(0, len(keys), 512):
-                    some = range(at, min(at + 512, len(keys)))
+                at = 0
+                while at < len(keys):
+                    end = min(at + 512, max(at + 1, int(np.searchsorted(stops, starts[at] + BATCH_IDS, "right"))))
+                    packed = ids[starts[at] : stops[end - 1]]
+                    edges = (np.append(starts[at:end], stops[end - 1]) - starts[at]).astype(np.int32) * 4
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([batch.column(0)[k].as_py()] * len(some), pa.int32()),
-                            pa.array([batch.column(1)[k].as_py()] * len(some), pa.int32()),
-                            keys.slice(at, len(some)),
-                            pa.array(starts[at : at + 512]),
-                            pa.array(counts[at : at + 512].astype(np.int64)),
-                            pa.array([ids[starts[i] : stops[i]].tobytes() for i in some], pa.binary()),
+                            pa.array([batch.column(0)[k].as_py()] * (end - at), pa.int32()),
+                            pa.array([batch.column(1)[k].as_py()] * (end - at), pa.int32()),
+                            keys.slice(at, end - at),
+                            pa.array(starts[at:end]),
+                            pa.array(stops[at:end] - starts[at:end]),
+                            pa.Array.from_buffers(
+                                pa.binary(), end - at, [None, pa.py_buffer(edges), pa.py_buffer(packed)]
+                            ),
                         ],
                         names=["file_no", "seg_no", "doc_id", "inside", "n_tokens", "ids"],
                     )
+                    at = end
 
     schema = f"file_no int, seg_no int, doc_id {kind}, inside long, n_tokens long, ids binary"
     read = files.select("file_no", "seg_no", "keys", "segment").mapInArrow(run, schema)
