@@ -103,11 +103,12 @@ class _Followers:
         self.base = np.arange(lanes, dtype=np.int64) * SLOTS
         self.one = self.two = np.zeros(lanes, np.int64)
 
-    def ask(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, n: int, out: tuple = (None, None)) -> tuple[np.ndarray, np.ndarray]:
         """Entries of both orders for the next id of the first ``n`` lanes."""
         one, two, base = self.one[:n], self.two[:n], self.base[:n]
         self.places = (one & (SLOTS - 1)) + base, ((one * 37 + two * 101) & (SLOTS - 1)) + base
-        return self.tables[0].take(self.places[0]), self.tables[1].take(self.places[1])
+        one, two = (x.take(at, out=o, mode="clip") for x, at, o in zip(self.tables, self.places, out, strict=True))
+        return one, two
 
     def learn(self, ids: np.ndarray, scaled: np.ndarray, differ: tuple[np.ndarray, np.ndarray]) -> None:
         """``scaled`` is id * 8, ``differ`` its exclusive or with the entries."""
@@ -133,23 +134,20 @@ def _lanes_at(sizes: np.ndarray) -> np.ndarray:
 def _encode_batch(part: np.ndarray) -> bytes:
     lanes = -(-len(part) // BLOCK)
     sizes = np.minimum(BLOCK, len(part) - BLOCK * np.arange(lanes))
-    square = np.zeros((lanes, BLOCK), np.int64)
+    square = np.zeros((lanes, BLOCK), np.uint16)
     square.ravel()[: len(part)] = part
     ids = np.ascontiguousarray(square.T[: int(sizes[0])])
     steps, active = len(ids), _lanes_at(sizes)
     entries = np.zeros((2, steps, lanes), np.int32)
-    differ = np.zeros((2, steps, lanes), np.int32)
-    scaled = (ids << 3).astype(np.int32)
     followers = _Followers(lanes)
     for t in range(steps):
         n = active[t]
-        found = followers.ask(n)
-        for k in range(2):
-            entries[k, t, :n] = found[k]
-            np.bitwise_xor(found[k], scaled[t, :n], out=differ[k, t, :n])
-        followers.learn(ids[t, :n], scaled[t, :n], (differ[0, t, :n], differ[1, t, :n]))
+        scaled = ids[t, :n].astype(np.int32) << 3
+        one, two = followers.ask(n, (entries[0, t, :n], entries[1, t, :n]))
+        followers.learn(ids[t, :n].astype(np.int64), scaled, (one ^ scaled, two ^ scaled))
     # Every fourth step tells what the confidences are worth.
-    weights = np.stack([_weights(entries[k, ::4], differ[k, ::4]) for k in range(2)])
+    scaled = ids[::4].astype(np.int32) << 3
+    weights = np.stack([_weights(x, x ^ scaled) for x in entries[:, ::4]])
     model = Model(*_shares(part), weights)
 
     low, size = np.zeros(lanes), np.full(lanes, BOTTOM * WORD)
@@ -157,12 +155,13 @@ def _encode_batch(part: np.ndarray) -> bytes:
     flat, at = words.ravel(), np.arange(lanes, dtype=np.int64) * words.shape[1]
     for first in range(0, steps, STRETCH):
         some = slice(first, min(first + STRETCH, steps))
-        start, width = model.start.take(ids[some]), model.width.take(ids[some])
+        scaled, own = ids[some].astype(np.int32) << 3, ids[some].astype(np.int64)
+        start, width = model.start.take(own), model.width.take(own)
         whole = np.full(start.shape, float(SHARES))
         for k in range(2):
             extra = model.weights[k].take(entries[k, some] & (LEVELS - 1))
-            start += extra * (entries[k, some] < scaled[some])
-            width += extra * (differ[k, some] < LEVELS)
+            start += extra * (entries[k, some] < scaled)
+            width += extra * ((entries[k, some] ^ scaled) < LEVELS)
             whole += extra
         for t in range(first, some.stop):
             n, k = active[t], t - first
@@ -208,7 +207,7 @@ def _decode_lanes(model: Model, payloads: list[memoryview], sizes: np.ndarray) -
     size = np.full(lanes, BOTTOM * WORD)
     owner = np.repeat(model.ids, model.shares)
     width_of, start_of, (first, second) = model.width, model.start, model.weights
-    followers, out = _Followers(lanes), np.zeros((steps, lanes), np.int64)
+    followers, out = _Followers(lanes), np.zeros((steps, lanes), np.uint16)
     for t in range(steps):
         n = active[t]
         one, two = followers.ask(n)
